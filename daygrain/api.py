@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +35,6 @@ def _row_minutes(codes: Sequence[str]) -> Column:
     return _pairwise([F.col(c).cast("double") for c in codes], lambda a, b: a + b)
 
 
-def _row_took_part(codes: Sequence[str]) -> Column:
-    return _pairwise([F.col(c) > 0 for c in codes], lambda a, b: a | b)
-
-
 def _check(df: DataFrame, groups, activities, simplify) -> tuple[str, list[str], list[str]]:
     weight = weight_column(df)
     codes = list(dict.fromkeys(activities)) if activities is not None else columns_matching(df)
@@ -62,7 +57,6 @@ def _slots(df, weight, groups, by_label: dict[str | None, list[str]]) -> DataFra
         *groups,
         F.col(weight).alias("weight"),
         *[_row_minutes(by_label[x]).alias(f"minutes_{i}") for i, x in enumerate(labels)],
-        *[_row_took_part(by_label[x]).alias(f"took_part_{i}") for i, x in enumerate(labels)],
     )
     return estimates.cells_from_slots(people, groups, labels)
 
@@ -96,7 +90,6 @@ def get_min_per_part(df: DataFrame, groups=None, activities=None, simplify=None)
         simplify = df.sparkSession.createDataFrame(list(simplify), "activity string, description string")
     people = df.select(ID_COLUMN, F.col(weight).alias("weight"), *groups, *codes)
     fact = unpivot_activities(people, [ID_COLUMN, "weight", *groups], codes)
-    fact = fact.withColumn("took_part", F.lit(True))
     listed = F.array(*[F.lit(c) for c in codes])
     if isinstance(simplify, DataFrame):
         mapping = unique_mapping(simplify).filter(F.col("activity").isin(codes))
@@ -104,7 +97,7 @@ def get_min_per_part(df: DataFrame, groups=None, activities=None, simplify=None)
         fact = (
             fact.join(F.broadcast(mapping), "activity", "left")
             .groupBy("description", *by_person)
-            .agg(F.sum("minutes").alias("minutes"), F.max("took_part").alias("took_part"))
+            .agg(F.sum("minutes").alias("minutes"))
             .withColumnRenamed("description", "activity")
         )
         described = df.sparkSession.createDataFrame([(c,) for c in codes], "activity string").join(

@@ -14,20 +14,17 @@ from daygrain import lookups
 CODE_FORMAT = "^t[0-9]{6}$"
 
 
-def checked_code(code: Column) -> Column:
-    """Pass six-digit codes through and fail on anything else.
+def distinct_codes(minutes: DataFrame, code: str = "activity") -> DataFrame:
+    """The codes that occur, each checked to have six digits.
 
     The format is what bounds every table keyed by code: no data volume can produce more
-    than a million of them, which keeps a broadcast of such a table safe.
+    than a million of them, which keeps a broadcast of such a table safe. The check refers
+    to the count, so it runs on the distinct codes and not on the rows of the fact.
     """
-    return F.when(code.isNull() | code.rlike(CODE_FORMAT), code).otherwise(
-        F.raise_error(F.concat(F.lit("not a six-digit activity code: "), code))
-    )
-
-
-def distinct_codes(minutes: DataFrame, code: str = "activity") -> DataFrame:
-    """The codes that occur; duplicates are removed before the shuffle."""
-    return minutes.select(code).distinct().select(checked_code(F.col(code)).alias(code))
+    counted = minutes.filter(F.col(code).isNotNull()).groupBy(code).agg(F.count(F.lit(1)).alias("rows"))
+    fails = F.raise_error(F.concat(F.lit("not a six-digit activity code: "), F.col(code)))
+    known = F.when(F.col(code).rlike(CODE_FORMAT) | (F.col("rows") < 0), F.col(code)).otherwise(fails)
+    return counted.select(known.alias(code))
 
 
 def regex_left_join(codes: DataFrame, patterns: DataFrame, code: str = "activity") -> DataFrame:
@@ -60,6 +57,15 @@ def by_patterns(
     return Labelling(mapping, labels)
 
 
+def slot_of(labels: Sequence[str | None]) -> Column:
+    """Position of ``description`` in a closed list of labels, 0-based."""
+    out = None
+    for i, label in enumerate(labels):
+        hit = F.col("description").isNull() if label is None else F.col("description") == label
+        out = F.when(hit, i) if out is None else out.when(hit, i)
+    return out
+
+
 def label_header(names: Iterable[str], patterns=lookups.CATEGORIES_V1) -> list[tuple[str, str | None]]:
     """The same mapping from column names alone, without touching any data."""
     rows = []
@@ -78,13 +84,13 @@ def add_category(df: DataFrame, patterns=lookups.CATEGORIES_V1, code: str = "act
 
 def unique_mapping(mapping: DataFrame) -> DataFrame:
     """A user's mapping with one row per code; a code listed twice is an error."""
-    listed = mapping.groupBy("activity").agg(
+    listed = mapping.filter(F.col("activity").rlike(CODE_FORMAT)).groupBy("activity").agg(
         F.count(F.lit(1)).alias("times"), F.first("description").alias("description")
     )
     once = F.when(F.col("times") == 1, F.col("description")).otherwise(
         F.raise_error(F.concat(F.lit("activity listed more than once: "), F.col("activity")))
     )
-    return listed.select(checked_code(F.col("activity")).alias("activity"), once.alias("description"))
+    return listed.select("activity", once.alias("description"))
 
 
 # ---------------------------------------------------------------------------

@@ -12,13 +12,13 @@ zero cells from codes x observed groups.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrain.functions.numeric import ratio, ratio_or_zero
-from daygrain.operators.categorize import Labelling, keep_codes, unique_mapping
+from daygrain.operators.categorize import Labelling, keep_codes, slot_of, unique_mapping
 
 # fixed value: label of the single row left by ``simplify=True`` (spelling included)
 COLLAPSED_LABEL = "All activites provided"
@@ -52,31 +52,31 @@ def metrics_from_cells(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _slot_condition(label: str | None) -> Column:
-    return F.col("description").isNull() if label is None else F.col("description") == label
-
-
 def person_slots(
     minutes: DataFrame,
-    labels: Sequence[str | None] | None,
+    slots: int | None,
     work_code: str | None = None,
 ) -> DataFrame:
-    """One row per case: minutes and participation of every label.
+    """One row per case with the minutes of every slot.
 
-    ``labels=None`` makes one slot of all rows. ``work_code`` adds the minutes of all codes
-    that contain it, for the work-day flag, in the same pass.
+    The fact carries its slot as an integer; ``slots=None`` makes one slot of all rows.
+    ``work_code`` adds the minutes of all codes that contain it, for the work-day flag, in
+    the same pass.
     """
-    conditions = [F.lit(True)] if labels is None else [_slot_condition(x) for x in labels]
-    aggregates = []
-    for i, hit in enumerate(conditions):
-        aggregates.append(F.sum(F.when(hit, F.col("minutes"))).alias(f"minutes_{i}"))
-        aggregates.append(F.max(F.when(hit, F.col("minutes") > 0)).alias(f"took_part_{i}"))
+    hits = [F.lit(True)] if slots is None else [F.col("slot") == i for i in range(slots)]
+    aggregates = [F.sum(F.when(hit, F.col("minutes"))).alias(f"minutes_{i}") for i, hit in enumerate(hits)]
     if work_code is not None:
         worked = F.when(F.col("activity").contains(work_code), F.col("minutes"))
         aggregates.append(F.sum(worked).alias("work_minutes"))
     return minutes.groupBy("case_id").agg(*aggregates)
 
 
+def with_slots(minutes: DataFrame, labelling: Labelling) -> DataFrame:
+    """Attach the slot of the label to every row of the fact."""
+    slots = labelling.mapping.select("activity", slot_of(labelling.labels).alias("slot"))
+    return minutes.join(F.broadcast(slots), "activity", "left")
+
+
 def cells_from_slots(
     people: DataFrame, groups: Sequence[str], labels: Sequence[str | None]
 ) -> DataFrame:
@@ -86,7 +86,8 @@ def cells_from_slots(
     for i in range(len(labels)):
         weighted = F.col("weight") * F.coalesce(F.col(f"minutes_{i}"), zero)
         sums.append(F.sum(weighted).alias(f"weighted_{i}"))
-        taking_part = F.when(F.col(f"took_part_{i}"), F.col("weight")).otherwise(zero)
+        # minutes are never negative, so a positive sum means some time was spent
+        taking_part = F.when(F.col(f"minutes_{i}") > 0, F.col("weight")).otherwise(zero)
         sums.append(F.sum(taking_part).alias(f"taking_part_{i}"))
     slots = F.array(
         *[
@@ -106,20 +107,21 @@ def cells_from_slots(
 
 
 def _by_label(respondents, minutes, groups, labelling: Labelling, work_day) -> DataFrame:
-    fact = minutes.join(F.broadcast(labelling.mapping), "activity", "left")
-    people = _people(respondents, fact, labelling.labels, work_day)
+    fact = with_slots(minutes, labelling)
+    people = _people(respondents, fact, len(labelling.labels), work_day)
     cells = cells_from_slots(people, groups, labelling.labels)
-    # a label none of whose codes occur has no row
+    return metrics_from_cells(keep_occurring(cells, labelling, "activity"), groups)
+
+
+def keep_occurring(df: DataFrame, labelling: Labelling, column: str) -> DataFrame:
+    """Drop the labels none of whose codes occur."""
     occurring = labelling.mapping.select(F.col("description").alias("label")).distinct()
-    cells = cells.join(
-        F.broadcast(occurring), F.col("activity").eqNullSafe(F.col("label")), "left_semi"
-    )
-    return metrics_from_cells(cells, groups)
+    return df.join(F.broadcast(occurring), F.col(column).eqNullSafe(F.col("label")), "left_semi")
 
 
-def _people(respondents, fact, labels, work_day) -> DataFrame:
+def _people(respondents, fact, slots, work_day) -> DataFrame:
     code, threshold = work_day if work_day else (None, None)
-    people = respondents.join(person_slots(fact, labels, code), "case_id", "left")
+    people = respondents.join(person_slots(fact, slots, code), "case_id", "left")
     if work_day:
         people = people.withColumn(
             "work_day", F.coalesce(F.col("work_minutes"), F.lit(0.0)) >= threshold
@@ -141,6 +143,13 @@ def _codes_array(minutes: DataFrame, activities) -> Column:
     return listed.agg(F.collect_set(F.struct("activity"))).scalar()["activity"]
 
 
+def _sums(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return rows.groupBy("activity", *groups).agg(
+        F.sum(F.col("weight") * F.col("minutes")).alias("weighted_sum"),
+        F.sum(F.when(F.col("minutes") > 0, F.col("weight")).otherwise(0.0)).alias("participant_weight"),
+    )
+
+
 def cells_from_rows(
     rows: DataFrame, totals: DataFrame, groups: Sequence[str], codes: Column
 ) -> DataFrame:
@@ -148,10 +157,7 @@ def cells_from_rows(
 
     ``totals`` holds ``total_weight`` per group and ``codes`` the activities as an array.
     """
-    sums = rows.groupBy("activity", *groups).agg(
-        F.sum(F.col("weight") * F.col("minutes")).alias("weighted_sum"),
-        F.sum(F.when(F.col("took_part"), F.col("weight")).otherwise(0.0)).alias("participant_weight"),
-    )
+    sums = _sums(rows, groups)
     grid = totals.select(F.explode(codes).alias("activity"), *groups, "total_weight")
     # adding up the grid and the sums gives zero cells and keeps NULL groups without a join
     return (
@@ -166,15 +172,17 @@ def cells_from_rows(
 
 
 def _by_code(respondents, minutes, groups, activities, unique_minutes) -> DataFrame:
-    if unique_minutes:
-        per_case = minutes.withColumn("took_part", F.col("minutes") > 0)
-    else:
-        per_case = minutes.groupBy("case_id", "activity").agg(
-            F.sum("minutes").alias("minutes"), F.max(F.col("minutes") > 0).alias("took_part")
-        )
+    per_case = minutes
+    if not unique_minutes:
+        per_case = minutes.groupBy("case_id", "activity").agg(F.sum("minutes").alias("minutes"))
     rows = respondents.select("case_id", "weight", *groups).join(per_case, "case_id")
     totals = respondents.groupBy(*groups).agg(F.sum("weight").alias("total_weight"))
-    return metrics_from_cells(cells_from_rows(rows, totals, groups, _codes_array(minutes, activities)), groups)
+    if not groups and not isinstance(activities, (list, tuple)):
+        # every code that occurs has its one cell already
+        cells = _sums(rows, groups).withColumn("total_weight", totals.scalar())
+    else:
+        cells = cells_from_rows(rows, totals, groups, _codes_array(minutes, activities))
+    return metrics_from_cells(cells, groups)
 
 
 # ---------------------------------------------------------------------------

@@ -17,10 +17,12 @@ from daygrain.functions.numeric import hours
 from daygrain.operators import breakdowns, categorize, demographics as demo, diary, profile, trends, variance
 from daygrain.operators.estimates import (
     METRICS,
+    keep_occurring,
     participation,
     per_participant,
     person_slots,
     weighted_minutes,
+    with_slots,
 )
 from daygrain.operators.reshape import metrics_long, pivot_values
 from daygrain.survey import Survey
@@ -443,8 +445,7 @@ def weekend_minutes_long(s: Survey) -> DataFrame:
     """
     labelling = categorize.by_patterns(s.minutes, lookups.CATEGORIES_V2)
     people = diary.select_days(s.respondents, diary.WEEKEND).select("case_id")
-    fact = s.minutes.join(F.broadcast(labelling.mapping), "activity", "left")
-    slots = people.join(person_slots(fact, labelling.labels), "case_id", "left")
+    slots = person_slots(with_slots(s.minutes, labelling), len(labelling.labels))
     entries = F.array(
         *[
             F.struct(
@@ -454,11 +455,8 @@ def weekend_minutes_long(s: Survey) -> DataFrame:
             for i, x in enumerate(labelling.labels)
         ]
     )
-    long = slots.select("case_id", F.inline(entries))
-    occurring = labelling.mapping.select(F.col("description").alias("label")).distinct()
-    return long.join(
-        F.broadcast(occurring), F.col("description").eqNullSafe(F.col("label")), "left_semi"
-    )
+    long = people.join(slots, "case_id", "left").select("case_id", F.inline(entries))
+    return keep_occurring(long, labelling, "description")
 
 
 def weekday_spells(s: Survey) -> DataFrame:

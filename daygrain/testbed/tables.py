@@ -49,10 +49,8 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several rows may add to one (case, code); the operators sum them per case."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey as case_id",
-        """concat('t',
-             lpad(cast(case when l_partkey % 16 = 15 then 18 else 1 + l_partkey % 16 end as string), 2, '0'),
-             lpad(cast(1 + l_suppkey % 9 as string), 2, '0'),
-             lpad(cast(l_linenumber as string), 2, '0')) as activity""",
+        """concat('t', substring(cast(1000000 + (case when l_partkey % 16 = 15 then 18 else 1 + l_partkey % 16 end) * 10000
+             + (1 + l_suppkey % 9) * 100 + l_linenumber as string), 2, 6)) as activity""",
         "l_quantity as minutes",
     )
 
@@ -97,7 +95,8 @@ def _diary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clock_text(minute):
     at = (minute + clock.DAY_START) % clock.DAY
-    return F.format_string("%02d:%02d:00", F.floor(at / 60).cast("int"), (at % 60).cast("int"))
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    return F.concat(two(F.floor(at / 60)), F.lit(":"), two(at % 60), F.lit(":00"))
 
 
 def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
