@@ -30,44 +30,67 @@ def distinct_codes(minutes: DataFrame, code: str = "activity") -> DataFrame:
 def regex_left_join(codes: DataFrame, patterns: DataFrame, code: str = "activity") -> DataFrame:
     """Every pattern that a code contains; a code without a match keeps a NULL description.
 
-    ``codes`` must be a small table of distinct codes and ``patterns`` a fixed lookup: the
-    match is a theta join. Facts get their description through an equi-join afterwards.
+    ``codes`` must be a small table with one row per code and ``patterns`` a fixed lookup: the
+    match is a theta join. Facts are labelled by a ``Labelling`` instead.
     """
     hit = F.expr(f"{code} rlike pattern")
     return codes.join(F.broadcast(patterns), hit, "left")
 
 
+def pattern_hit(code: Column, pattern: str) -> Column:
+    """Whether a code contains the pattern; a plain prefix needs no regular expression."""
+    literal = pattern.removesuffix(".*")
+    return code.contains(literal) if literal.isalnum() else code.rlike(pattern)
+
+
 @dataclass(frozen=True)
 class Labelling:
-    """A code -> description mapping with the closed list of descriptions it can give."""
+    """A closed list of labels that code patterns give; the first matching pattern counts.
+
+    The label is an expression over the code, so a fact is labelled while it is scanned.
+    With ``unmapped`` the codes no pattern matches form a label of their own, NULL.
+    """
+
+    patterns: tuple[tuple[str, str], ...] = lookups.CATEGORIES_V1
+    unmapped: bool = True
+
+    @property
+    def labels(self) -> tuple[str | None, ...]:
+        named = tuple(dict.fromkeys(d for _, d in self.patterns))
+        return named + ((None,) if self.unmapped else ())
+
+    def _first_match(self, code: Column, value) -> Column:
+        out = None
+        for pattern, description in self.patterns:
+            hit = pattern_hit(code, pattern)
+            out = F.when(hit, value(description)) if out is None else out.when(hit, value(description))
+        return out
 
-    mapping: DataFrame
-    labels: tuple[str | None, ...]
+    def description(self, code: Column) -> Column:
+        return self._first_match(code, F.lit)
 
+    def slot(self, code: Column) -> Column:
+        """0-based position of the label; codes outside all labels have none."""
+        labels = self.labels
+        found = self._first_match(code, lambda d: F.lit(labels.index(d)))
+        return found.otherwise(F.lit(labels.index(None))) if self.unmapped else found
 
-def by_patterns(
-    minutes: DataFrame, patterns: Sequence[tuple[str, str]] = lookups.CATEGORIES_V1
-) -> Labelling:
-    """Map the codes that occur in ``minutes`` to curated categories."""
-    spark = minutes.sparkSession
-    mapping = regex_left_join(
-        distinct_codes(minutes), lookups.category_patterns(spark, patterns)
-    ).select("activity", "description")
-    labels = tuple(dict.fromkeys(d for _, d in patterns)) + (None,)
-    return Labelling(mapping, labels)
+    def among(self, code: Column, wanted: str) -> Column:
+        """Whether the code's label contains a regular expression, case-sensitively."""
+        kept = {d for d in self.labels if d is not None and re.search(wanted, d)}
+        return F.coalesce(self.description(code).isin(*kept), F.lit(False))
 
 
-def slot_of(labels: Sequence[str | None]) -> Column:
-    """Position of ``description`` in a closed list of labels, 0-based."""
-    out = None
-    for i, label in enumerate(labels):
-        hit = F.col("description").isNull() if label is None else F.col("description") == label
-        out = F.when(hit, i) if out is None else out.when(hit, i)
-    return out
+CURATED = Labelling(lookups.CATEGORIES_V1)
+CURATED_V2 = Labelling(lookups.CATEGORIES_V2)
+# category totals leave the data-quality codes and unknown codes out
+WITHOUT_DATA_CODES = Labelling(
+    tuple(x for x in lookups.CATEGORIES_V1 if x[0] != lookups.DATA_CODES_PATTERN), unmapped=False
+)
 
 
 def label_header(names: Iterable[str], patterns=lookups.CATEGORIES_V1) -> list[tuple[str, str | None]]:
-    """The same mapping from column names alone, without touching any data."""
+    """The category of every column name, without touching any data."""
     rows = []
     for name in names:
         hits = [d for p, d in patterns if re.search(p, name)]
@@ -75,22 +98,18 @@ def label_header(names: Iterable[str], patterns=lookups.CATEGORIES_V1) -> list[t
     return rows
 
 
-def add_category(df: DataFrame, patterns=lookups.CATEGORIES_V1, code: str = "activity") -> DataFrame:
-    """Attach the curated category to every row of a fact."""
-    renamed = df.select(F.col(code).alias("activity"))
-    mapping = by_patterns(renamed, patterns).mapping.withColumnRenamed("activity", code)
-    return df.join(F.broadcast(mapping), code, "left")
-
-
 def unique_mapping(mapping: DataFrame) -> DataFrame:
-    """A user's mapping with one row per code; a code listed twice is an error."""
-    listed = mapping.filter(F.col("activity").rlike(CODE_FORMAT)).groupBy("activity").agg(
-        F.count(F.lit(1)).alias("times"), F.first("description").alias("description")
+    """A user's mapping with one row per six-digit code; a code listed twice is an error."""
+    listed = (
+        mapping.filter("activity is not null")
+        .groupBy("activity")
+        .agg(F.count(F.lit(1)).alias("rows"), F.first("description").alias("description"))
     )
-    once = F.when(F.col("times") == 1, F.col("description")).otherwise(
-        F.raise_error(F.concat(F.lit("activity listed more than once: "), F.col("activity")))
+    usable = F.col("activity").rlike(CODE_FORMAT) & (F.col("rows") == 1)
+    fails = F.raise_error(F.concat(F.lit("not a six-digit code or listed twice: "), F.col("activity")))
+    return listed.select(
+        "activity", F.when(usable, F.col("description")).otherwise(fails).alias("description")
     )
-    return listed.select("activity", once.alias("description"))
 
 
 # ---------------------------------------------------------------------------
@@ -106,11 +125,6 @@ def codes_named(names: DataFrame, keyword: str, exclude: Sequence[str] = ()) ->
     return kept.select(F.concat(F.lit("t"), F.col("code")).alias("activity"))
 
 
-def codes_in_category(labelling: Labelling, pattern: str) -> DataFrame:
-    """Codes whose category matches a pattern, case-sensitively."""
-    return labelling.mapping.filter(F.col("description").rlike(pattern)).select("activity")
-
-
 def keep_codes(minutes: DataFrame, codes: DataFrame) -> DataFrame:
     """Rows of the fact whose code is in a code set."""
     return minutes.join(F.broadcast(codes.distinct()), "activity", "left_semi")
@@ -122,20 +136,22 @@ def without_nec(description: Column) -> Column:
 
 
 def code_catalogue(
-    estimates: DataFrame, labelling: Labelling, names: DataFrame, tier1: DataFrame
+    estimates: DataFrame, patterns: DataFrame, names: DataFrame, tier1: DataFrame
 ) -> DataFrame:
-    """Code, official name, tier-1 name and category with the overall averages."""
-    code = F.substring("activity", 2, 6)
+    """Code, official name, tier-1 name and category with the overall averages.
+
+    ``estimates`` has one row per code that occurs.
+    """
     specific = names.select(F.col("code"), F.col("description").alias("official_name"))
     summary = tier1.select(
         F.col("code").alias("tier1"), F.col("description").alias("official_summary_category")
     )
     return (
-        labelling.mapping.withColumn("code", code)
+        regex_left_join(estimates, patterns)
+        .withColumn("code", F.substring("activity", 2, 6))
         .withColumn("tier1", F.substring("code", 1, 2))
         .join(F.broadcast(summary), "tier1", "left")
         .join(F.broadcast(specific), "code", "left")
-        .join(estimates, "activity", "left")
         .select(
             "code",
             "official_name",

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.functions.numeric import ratio, ratio_or_zero
-from daygrain.operators.categorize import Labelling, keep_codes, slot_of, unique_mapping
+from daygrain.operators.categorize import Labelling, keep_codes, unique_mapping
 
 # fixed value: label of the single row left by ``simplify=True`` (spelling included)
 COLLAPSED_LABEL = "All activites provided"
@@ -31,6 +31,8 @@ def _restrict(minutes: DataFrame, activities) -> DataFrame:
         return minutes
     if isinstance(activities, DataFrame):
         return keep_codes(minutes, activities)
+    if isinstance(activities, Column):
+        return minutes.filter(activities)
     return minutes.filter(F.col("activity").isin(list(activities)))
 
 
@@ -53,17 +55,17 @@ def metrics_from_cells(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def person_slots(
-    minutes: DataFrame,
-    slots: int | None,
-    work_code: str | None = None,
+    minutes: DataFrame, labelling: Labelling | None, work_code: str | None = None
 ) -> DataFrame:
-    """One row per case with the minutes of every slot.
+    """One row per case with the minutes of every label in a slot of its own.
 
-    The fact carries its slot as an integer; ``slots=None`` makes one slot of all rows.
-    ``work_code`` adds the minutes of all codes that contain it, for the work-day flag, in
-    the same pass.
+    Without a labelling all rows share one slot. ``work_code`` adds the minutes of all codes
+    that contain it, for the work-day flag, in the same pass.
     """
-    hits = [F.lit(True)] if slots is None else [F.col("slot") == i for i in range(slots)]
+    hits = [F.lit(True)]
+    if labelling is not None:
+        minutes = minutes.withColumn("slot", labelling.slot(F.col("activity")))
+        hits = [F.col("slot") == i for i in range(len(labelling.labels))]
     aggregates = [F.sum(F.when(hit, F.col("minutes"))).alias(f"minutes_{i}") for i, hit in enumerate(hits)]
     if work_code is not None:
         worked = F.when(F.col("activity").contains(work_code), F.col("minutes"))
@@ -71,12 +73,6 @@ def person_slots(
     return minutes.groupBy("case_id").agg(*aggregates)
 
 
-def with_slots(minutes: DataFrame, labelling: Labelling) -> DataFrame:
-    """Attach the slot of the label to every row of the fact."""
-    slots = labelling.mapping.select("activity", slot_of(labelling.labels).alias("slot"))
-    return minutes.join(F.broadcast(slots), "activity", "left")
-
-
 def cells_from_slots(
     people: DataFrame, groups: Sequence[str], labels: Sequence[str | None]
 ) -> DataFrame:
@@ -106,22 +102,26 @@ def cells_from_slots(
     )
 
 
-def _by_label(respondents, minutes, groups, labelling: Labelling, work_day) -> DataFrame:
-    fact = with_slots(minutes, labelling)
-    people = _people(respondents, fact, len(labelling.labels), work_day)
-    cells = cells_from_slots(people, groups, labelling.labels)
-    return metrics_from_cells(keep_occurring(cells, labelling, "activity"), groups)
+def keep_used_unmapped(df: DataFrame, label: str, value: str) -> DataFrame:
+    """Drop the rows of the NULL label unless some unmapped code was used by anyone.
+
+    The window holds the few rows of one label of an aggregated table.
+    """
+    used = F.max(value).over(Window.partitionBy(label)) > 0
+    return df.withColumn("_used", used).filter(F.col(label).isNotNull() | F.col("_used")).drop("_used")
 
 
-def keep_occurring(df: DataFrame, labelling: Labelling, column: str) -> DataFrame:
-    """Drop the labels none of whose codes occur."""
-    occurring = labelling.mapping.select(F.col("description").alias("label")).distinct()
-    return df.join(F.broadcast(occurring), F.col(column).eqNullSafe(F.col("label")), "left_semi")
+def _by_label(respondents, minutes, groups, labelling: Labelling, work_day) -> DataFrame:
+    people = _people(respondents, minutes, labelling, work_day)
+    cells = cells_from_slots(people, groups, labelling.labels)
+    if labelling.unmapped:
+        cells = keep_used_unmapped(cells, "activity", "weighted_sum")
+    return metrics_from_cells(cells, groups)
 
 
-def _people(respondents, fact, slots, work_day) -> DataFrame:
+def _people(respondents, fact, labelling, work_day) -> DataFrame:
     code, threshold = work_day if work_day else (None, None)
-    people = respondents.join(person_slots(fact, slots, code), "case_id", "left")
+    people = respondents.join(person_slots(fact, labelling, code), "case_id", "left")
     if work_day:
         people = people.withColumn(
             "work_day", F.coalesce(F.col("work_minutes"), F.lit(0.0)) >= threshold
@@ -136,7 +136,7 @@ def _people(respondents, fact, slots, work_day) -> DataFrame:
 
 def _codes_array(minutes: DataFrame, activities) -> Column:
     """All activities that need a row, as one small array."""
-    if activities is not None and not isinstance(activities, DataFrame):
+    if isinstance(activities, (list, tuple)):
         return F.array(*[F.lit(a) for a in dict.fromkeys(activities)])
     # structs keep a NULL label, which a bare collect_set would lose
     listed = minutes.select("activity").distinct()
@@ -194,16 +194,16 @@ def per_participant(
     respondents: DataFrame,
     minutes: DataFrame,
     groups: Sequence[str] | None = None,
-    activities: Sequence[str] | DataFrame | None = None,
+    activities: Sequence[str] | Column | DataFrame | None = None,
     simplify: bool | Labelling | DataFrame | None = None,
     work_day: tuple[str, float] | None = None,
     unique_minutes: bool = False,
 ) -> DataFrame:
     """All three metrics per activity and group in one pass over the fact.
 
-    ``activities`` restricts the codes (a list or a one-column DataFrame). ``simplify``
-    collapses them: ``True`` to one row, a ``Labelling`` to its labels, a DataFrame
-    ``(activity, description)`` to its descriptions. ``work_day=(code, minutes)`` adds a
+    ``activities`` restricts the codes: a list, a predicate column or a one-column DataFrame.
+    ``simplify`` collapses them: ``True`` to one row, a ``Labelling`` to its labels, a
+    DataFrame ``(activity, description)`` to its descriptions. ``work_day=(code, minutes)`` adds a
     boolean column ``work_day`` to group by, read in the same pass.
     ``unique_minutes=True`` promises one row per (case, activity) and saves a shuffle.
     """
@@ -215,8 +215,7 @@ def per_participant(
         people = _people(respondents, wanted, None, work_day)
         return metrics_from_cells(cells_from_slots(people, groups, [COLLAPSED_LABEL]), groups)
     if isinstance(simplify, Labelling):
-        labelling = Labelling(_restrict(simplify.mapping, activities), simplify.labels)
-        return _by_label(respondents, wanted, groups, labelling, work_day)
+        return _by_label(respondents, wanted, groups, simplify, work_day)
     if work_day is not None:
         raise ValueError("work_day needs simplify=True or a Labelling")
     if isinstance(simplify, DataFrame):

@@ -31,7 +31,8 @@ def replicate_se(
     """
     groups = list(groups)
     weights = F.concat(F.array(F.col("weight")), F.col("weights"))
-    exploded = people.join(replicate_weights, "case_id").select(
+    # one array per respondent is far too much to broadcast, whatever its file size suggests
+    exploded = people.join(replicate_weights.hint("merge"), "case_id").select(
         *groups, F.col("minutes"), F.posexplode(weights).alias("replicate", "w")
     )
     theta = (

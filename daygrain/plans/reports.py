@@ -17,12 +17,10 @@ from daygrain.functions.numeric import hours
 from daygrain.operators import breakdowns, categorize, demographics as demo, diary, profile, trends, variance
 from daygrain.operators.estimates import (
     METRICS,
-    keep_occurring,
     participation,
     per_participant,
     person_slots,
     weighted_minutes,
-    with_slots,
 )
 from daygrain.operators.reshape import metrics_long, pivot_values
 from daygrain.survey import Survey
@@ -43,7 +41,7 @@ SECURITY_OUTLIER_YEAR = 2011
 def summary_by_sex(s: Survey) -> DataFrame:
     """Hours, participation and hours per participant by category and sex."""
     est = per_participant(
-        s.respondents, s.minutes, ["sex"], simplify=categorize.by_patterns(s.minutes)
+        s.respondents, s.minutes, ["sex"], simplify=categorize.CURATED
     )
     return est.select(
         "activity",
@@ -56,7 +54,7 @@ def summary_by_sex(s: Survey) -> DataFrame:
 
 def hours_with_sexes_as_columns(s: Survey) -> DataFrame:
     est = weighted_minutes(
-        s.respondents, s.minutes, ["sex"], simplify=categorize.by_patterns(s.minutes)
+        s.respondents, s.minutes, ["sex"], simplify=categorize.CURATED
     ).select(
         "activity",
         labels.sex_label(F.col("sex")).alias("sex"),
@@ -79,16 +77,12 @@ def category_totals_by(s: Survey, respondents: DataFrame, groups: Sequence[str],
     The sum of a category's weighted means is the weighted mean of its sum, so the codes
     are added up per person first and one slot per category reaches the aggregation.
     """
-    patterns = lookups.CATEGORIES_V1
-    minutes = s.minutes.filter(~F.col("activity").rlike(lookups.DATA_CODES_PATTERN))
-    labelling = categorize.by_patterns(minutes, patterns)
-    # a code without category fails the comparison with the excluded pattern
-    named = categorize.Labelling(
-        labelling.mapping.filter("description is not null"),
-        tuple(x for x in labelling.labels if x is not None),
-    )
     est = weighted_minutes(
-        respondents, minutes, groups, simplify=named, work_day=s.work_day if work_day else None
+        respondents,
+        s.minutes,
+        groups,
+        simplify=categorize.WITHOUT_DATA_CODES,
+        work_day=s.work_day if work_day else None,
     )
     return est.withColumnRenamed("activity", "description")
 
@@ -179,7 +173,7 @@ def _by_sex_year_agebin(s: Survey, activities) -> DataFrame:
 
 
 def household_by_sex_year_agebin(s: Survey) -> DataFrame:
-    codes = categorize.codes_in_category(categorize.by_patterns(s.minutes), "^Household Activities$")
+    codes = categorize.CURATED.among(F.col("activity"), "^Household Activities$")
     return _by_sex_year_agebin(s, codes)
 
 
@@ -194,7 +188,7 @@ def _by_year(s: Survey, activities, people: DataFrame | None = None) -> DataFram
 
 
 def work_by_year(s: Survey) -> DataFrame:
-    codes = categorize.codes_in_category(categorize.by_patterns(s.minutes), "Work")
+    codes = categorize.CURATED.among(F.col("activity"), "Work")
     return _long(_by_year(s, codes), ["activity", "year"])
 
 
@@ -249,7 +243,7 @@ def category_by_age_workday(s: Survey) -> DataFrame:
         s.respondents,
         s.minutes,
         ["age", "work_day"],
-        simplify=categorize.by_patterns(s.minutes),
+        simplify=categorize.CURATED,
         work_day=s.work_day,
     )
     return est.withColumn("work_day", labels.work_day_label(F.col("work_day")))
@@ -432,7 +426,7 @@ def code_catalogue(s: Survey) -> DataFrame:
     est = per_participant(s.respondents, s.minutes, unique_minutes=s.unique_minutes)
     return categorize.code_catalogue(
         est,
-        categorize.by_patterns(s.minutes, lookups.CATEGORIES_V2),
+        lookups.category_patterns(s.minutes.sparkSession, lookups.CATEGORIES_V2),
         s.activity_names,
         lookups.tier1_names(s.minutes.sparkSession),
     )
@@ -441,22 +435,21 @@ def code_catalogue(s: Survey) -> DataFrame:
 def weekend_minutes_long(s: Survey) -> DataFrame:
     """Minutes per category of every weekend, non-holiday respondent, zeros included.
 
-    A person has a row for every category that has a code, as in the wide file.
+    A person has a row for every category, as in the wide file.
     """
-    labelling = categorize.by_patterns(s.minutes, lookups.CATEGORIES_V2)
+    labelling = categorize.CURATED_V2
     people = diary.select_days(s.respondents, diary.WEEKEND).select("case_id")
-    slots = person_slots(with_slots(s.minutes, labelling), len(labelling.labels))
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(x).cast("string").alias("description"),
-                F.coalesce(F.col(f"minutes_{i}"), F.lit(0.0)).alias("minutes"),
-            )
-            for i, x in enumerate(labelling.labels)
-        ]
-    )
-    long = people.join(slots, "case_id", "left").select("case_id", F.inline(entries))
-    return keep_occurring(long, labelling, "description")
+    slots = person_slots(s.minutes, labelling)
+    known = [(i, x) for i, x in enumerate(labelling.labels) if x is not None]
+    entries = [
+        F.struct(F.lit(x).alias("description"), F.coalesce(F.col(f"minutes_{i}"), F.lit(0.0)).alias("minutes"))
+        for i, x in known
+    ]
+    unmapped = F.col(f"minutes_{len(known)}")
+    rest = F.struct(F.lit(None).cast("string").alias("description"), unmapped.alias("minutes"))
+    # time under an unknown code keeps its row, next to the closed list of categories
+    rows = F.when(unmapped.isNotNull(), F.array(*entries, rest)).otherwise(F.array(*entries))
+    return people.join(slots, "case_id", "left").select("case_id", F.inline(rows))
 
 
 def weekday_spells(s: Survey) -> DataFrame:

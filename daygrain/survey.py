@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daygrain import lookups
 from daygrain.operators.breakdowns import one_per_case
+from daygrain.operators.categorize import CURATED_V2, Labelling
 from daygrain.operators.reshape import columns_matching, unpivot_activities
 from daygrain.sources.readers import weight_column
 
@@ -60,11 +61,9 @@ class Survey:
         household: DataFrame | None = None,
         replicate_weights: DataFrame | None = None,
         activity_names: DataFrame | None = None,
-        categories=lookups.CATEGORIES_V2,
+        categories: Labelling = CURATED_V2,
     ) -> "Survey":
         """Build the canonical frames from the survey's published files."""
-        from daygrain.operators.categorize import add_category
-
         spark = summary.sparkSession
         weight = weight_column(summary)
         out = cls(unique_minutes=True)
@@ -133,6 +132,6 @@ class Survey:
                 F.col("TUSTOPTIME").alias("stop_clock"),
                 F.concat(F.lit("t"), F.col("TRCODEP")).alias("activity"),
             )
-            out.spells = add_category(coded, categories)
-            out.diary_labels = tuple(dict.fromkeys(d for _, d in categories))
+            out.spells = coded.withColumn("description", categories.description(F.col("activity")))
+            out.diary_labels = tuple(x for x in categories.labels if x is not None)
         return out

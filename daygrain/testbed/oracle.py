@@ -111,14 +111,15 @@ BY_CATEGORY = [
     PATTERNS_V1,
     MAPPING,
     "named AS (SELECT case_id, description AS label, spent FROM fact JOIN mapping USING (code))",
-    "labels AS (SELECT DISTINCT description AS label FROM mapping)",
+    "labels AS (SELECT description AS label FROM patterns UNION"
+    " SELECT description FROM mapping WHERE description IS NULL)",
 ]
 BY_CATEGORY_NO_DATA_CODES = [
     PATTERNS_V1,
     MAPPING,
     f"kept AS (SELECT * FROM mapping WHERE pattern <> '{lookups.DATA_CODES_PATTERN}')",
     "named AS (SELECT case_id, description AS label, spent FROM fact JOIN kept USING (code))",
-    "labels AS (SELECT DISTINCT description AS label FROM kept)",
+    f"labels AS (SELECT DISTINCT description AS label FROM patterns WHERE pattern <> '{lookups.DATA_CODES_PATTERN}')",
 ]
 
 
@@ -697,7 +698,7 @@ LEFT JOIN tier1 ON substr(activity, 2, 2) = tier1.code""",
         [RESPONDENT, FACT, PATTERNS_V2, MAPPING],
         """SELECT r.case_id, c.description, coalesce(round(total, 6), 0) AS minutes
 FROM (SELECT case_id FROM respondent WHERE diary_day IN (1, 7) AND holiday = 0) AS r
-CROSS JOIN (SELECT DISTINCT description FROM mapping) AS c
+CROSS JOIN (SELECT DISTINCT description FROM patterns) AS c
 LEFT JOIN (SELECT case_id, description, sum(spent) AS total FROM fact JOIN mapping USING (code) GROUP BY 1, 2) AS t
   ON t.case_id = r.case_id AND t.description IS NOT DISTINCT FROM c.description""",
     ),

@@ -60,8 +60,7 @@ def _all_collapsed(s):
 
 
 def _by_category(s):
-    labelling = categorize.by_patterns(s.minutes)
-    return weighted_minutes(s.respondents, s.minutes, ["sex", "age"], simplify=labelling)
+    return weighted_minutes(s.respondents, s.minutes, ["sex", "age"], simplify=categorize.CURATED)
 
 
 def _by_mapping(s):
@@ -77,13 +76,11 @@ def _participation_by_activity(s):
 
 
 def _participation_by_category(s):
-    labelling = categorize.by_patterns(s.minutes)
-    return participation(s.respondents, s.minutes, ["sex"], simplify=labelling)
+    return participation(s.respondents, s.minutes, ["sex"], simplify=categorize.CURATED)
 
 
 def _per_participant_by_sex(s):
-    labelling = categorize.by_patterns(s.minutes)
-    out = per_participant(s.respondents, s.minutes, ["sex"], simplify=labelling)
+    out = per_participant(s.respondents, s.minutes, ["sex"], simplify=categorize.CURATED)
     return out.withColumn("sex", labels.sex_label(F.col("sex")))
 
 

@@ -75,10 +75,14 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    factor = "case when ((o_orderkey % 1009) * (r + 17) + r * r) % 1009 % 2 = 0 then 0.5D else 1.5D end"
-    return table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey as case_id",
-        f"transform(sequence(1, {REPLICATES}), r -> o_totalprice * {factor}) as weights",
+    """Half or one and a half times the weight, by case and replicate."""
+    case = "(o_orderkey % 1009)"
+    factors = [
+        F.expr(f"case when ({case} * {r + 17} + {r * r}) % 1009 % 2 = 0 then 0.5D else 1.5D end * o_totalprice")
+        for r in range(1, REPLICATES + 1)
+    ]
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.array(*factors).alias("weights")
     )
 
 
