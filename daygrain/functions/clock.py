@@ -9,14 +9,18 @@ DAY = 1440
 DAY_START = 240  # the diary day runs from 4 am to 4 am
 
 
+def whole(minutes: Column, length: int) -> Column:
+    """Integer division; stays off floating point."""
+    return F.call_function("div", minutes, F.lit(length)).cast("int")
+
+
 def minute_of_day(clock: Column) -> Column:
     """``HH:mm:ss`` text to minutes after midnight."""
-    parts = F.split(clock, ":")
-    return parts[0].cast("int") * 60 + parts[1].cast("int")
+    return F.substring(clock, 1, 2).cast("int") * 60 + F.substring(clock, 4, 2).cast("int")
 
 
 def floor_to(minutes: Column, step: int) -> Column:
-    return (F.floor(minutes / F.lit(step)) * step).cast("int")
+    return minutes if step == 1 else minutes - minutes % step
 
 
 def since_day_start(minutes: Column) -> Column:
@@ -31,7 +35,7 @@ def cap_wrapped(start: Column, end: Column, cap: int) -> Column:
 
 def period_of(minute: Column, length: int = 30) -> Column:
     """1-based index of the period a minute falls in."""
-    return (F.floor(minute / F.lit(length)) + 1).cast("int")
+    return whole(minute, length) + 1
 
 
 def _hours_minutes(minutes: Column, rounded: bool) -> tuple[Column, Column]:

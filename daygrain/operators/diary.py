@@ -86,35 +86,41 @@ def _label(packed: Column, labels: Column) -> Column:
 
 
 def _slots_by_period(spells: DataFrame, labels: Column) -> DataFrame:
-    """Per (case, period) the six slot winners as one array; untouched slots are NULL."""
-    touched = spells.select(
-        "case_id",
-        (F.col("ordinal") * LABEL_SPACE + _position(F.col("description"), labels)).alias("packed"),
-        F.explode(F.sequence(F.col("start_min"), F.col("end_min"), F.lit(SLOT))).alias("minute"),
-    )
-    slot = F.floor(F.col("minute") / SLOT).cast("int")
-    winners = [
-        F.min(F.when(slot % SLOTS_PER_PERIOD == i, F.col("packed"))).alias(f"s{i}")
-        for i in range(SLOTS_PER_PERIOD)
-    ]
-    return (
-        touched.withColumn("period", clock.period_of(F.col("minute"), PERIOD))
-        .groupBy("case_id", "period")
-        .agg(*winners)
-        .select("case_id", "period", F.array(*[f"s{i}" for i in range(SLOTS_PER_PERIOD)]).alias("slots"))
+    """Per (case, period) the winners of its slots in ``s0`` ... ``s5``; untouched slots are NULL.
+
+    A spell becomes one row per period it touches, not one per slot.
+    """
+    start, end = F.col("start_min"), F.col("end_min")
+    periods = F.sequence(clock.whole(start, PERIOD), clock.whole(end, PERIOD))
+    touched = (
+        spells.select(
+            "case_id",
+            "start_min",
+            "end_min",
+            (F.col("ordinal") * LABEL_SPACE + _position(F.col("description"), labels)).alias("packed"),
+        )
+        .select("case_id", "start_min", "end_min", "packed", F.explode(periods).alias("k"))
     )
+    winners = []
+    for i in range(SLOTS_PER_PERIOD):
+        slot_start = F.col("k") * PERIOD + i * SLOT
+        # both ends are multiples of a slot, and the end slot belongs to the spell
+        inside = (start <= slot_start) & (end >= slot_start)
+        winners.append(F.min(F.when(inside, F.col("packed"))).alias(f"s{i}"))
+    return touched.groupBy("case_id", "k").agg(*winners)
 
 
 def five_minute_slots(spells: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """One row per case and touched five-minute slot (spells from ``five_minute_spells``)."""
     listed = _label_list(spells, labels)
+    slots = F.array(*[f"s{i}" for i in range(SLOTS_PER_PERIOD)])
     return (
         _slots_by_period(spells, listed)
-        .select("case_id", "period", F.posexplode("slots").alias("i", "packed"))
+        .select("case_id", "k", F.posexplode(slots).alias("i", "packed"))
         .filter("packed is not null")
         .select(
             "case_id",
-            ((F.col("period") - 1) * PERIOD + F.col("i") * SLOT).cast("int").alias("minute"),
+            (F.col("k") * PERIOD + F.col("i") * SLOT).alias("minute"),
             _label(F.col("packed"), listed).alias("description"),
         )
     )
@@ -136,27 +142,36 @@ def complete_slots(slots: DataFrame) -> DataFrame:
     )
 
 
-def _mode_of_slots(slots: Column) -> Column:
-    """Most frequent label position of a short array; the earliest one wins a tie."""
-    ids = F.transform(slots, lambda p: p % F.lit(LABEL_SPACE))
-    ranked = F.transform(
-        ids,
-        lambda x, i: F.when(
-            x > 0,
-            F.struct(F.size(F.filter(ids, lambda y: y == x)).alias("n"), (-i).alias("first"), x.alias("id")),
-        ),
-    )
-    return F.array_max(ranked)["id"]
+def _mode_of_slots(ids: Sequence[Column]) -> Column:
+    """Most frequent of a few label positions; the earliest one wins a tie.
+
+    Every described slot scores how many slots agree with it, then how early it is, and
+    carries its label in the low bits; the greatest score is the mode.
+    """
+    n = len(ids)
+    scored = []
+    for i, mine in enumerate(ids):
+        agreeing = sum((F.coalesce((mine == other).cast("long"), F.lit(0)) for other in ids), F.lit(0))
+        score = (agreeing * n + (n - 1 - i)) * LABEL_SPACE + mine
+        scored.append(F.when(mine > 0, score))
+    return F.greatest(*scored)
 
 
 def five_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """The most frequent slot description of every half hour."""
     listed = _label_list(spells, labels)
+    names = [f"s{i}" for i in range(SLOTS_PER_PERIOD)]
     return (
         _slots_by_period(spells, listed)
-        .select("case_id", "period", _mode_of_slots(F.col("slots")).alias("id"))
-        .filter("id is not null")
-        .select("case_id", "period", _label(F.col("id"), listed).alias("description"))
+        .withColumns({s: F.col(s) % LABEL_SPACE for s in names})
+        .filter(" or ".join(f"{s} > 0" for s in names))
+        .select(
+            "case_id",
+            (F.col("k") + 1).alias("period"),
+            F.element_at(listed, (_mode_of_slots([F.col(s) for s in names]) % LABEL_SPACE).cast("int")).alias(
+                "description"
+            ),
+        )
     )
 
 
@@ -188,7 +203,7 @@ def one_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None)
             "end_min",
             _position(F.col("description"), listed).alias("id"),
             F.explode(
-                F.sequence(F.floor(start / PERIOD).cast("int"), F.floor((end - 1) / PERIOD).cast("int"))
+                F.sequence(clock.whole(start, PERIOD), clock.whole(end - 1, PERIOD))
             ).alias("k"),
         )
         .withColumn("first", F.greatest(start, k * PERIOD))
@@ -204,8 +219,8 @@ def one_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None)
         .agg(F.max(packed).alias("packed"))
         .select(
             "case_id",
-            (F.col("k") + 1).cast("int").alias("period"),
-            _label(F.col("packed"), listed).alias("description"),
+            (F.col("k") + 1).alias("period"),
+            F.element_at(listed, (F.col("packed") % LABEL_SPACE).cast("int")).alias("description"),
         )
     )
 

@@ -137,7 +137,12 @@ def tv_formatted(s: Survey) -> DataFrame:
 
 def tv_standard_errors(s: Survey) -> DataFrame:
     est = variance.standard_errors(
-        s.respondents, s.minutes, s.replicate_weights, ["age", "sex"], lookups.TV_CODES
+        s.respondents,
+        s.minutes,
+        s.replicate_weights,
+        ["age", "sex"],
+        lookups.TV_CODES,
+        s.replicate_formula,
     )
     return variance.with_band(est).withColumn("sex", labels.sex_label(F.col("sex")))
 
@@ -224,7 +229,9 @@ def grocery_by_sex_age(s: Survey) -> DataFrame:
 
 def leisure_standard_errors(s: Survey) -> DataFrame:
     codes = categorize.codes_named(s.activity_names, "leisure")
-    est = variance.standard_errors(s.respondents, s.minutes, s.replicate_weights, ["year"], codes)
+    est = variance.standard_errors(
+        s.respondents, s.minutes, s.replicate_weights, ["year"], codes, s.replicate_formula
+    )
     return variance.with_band(est)
 
 

@@ -22,6 +22,8 @@ def local_session(cpus: int = 8, **settings: str) -> SparkSession:
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.driver.memory": "8g",
+        # test tables are small: do not merge their partitions into one task
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         **settings,
     }.items():
         builder = builder.config(key, value)

@@ -22,7 +22,7 @@ class Survey:
     minutes            case_id, activity, minutes (positive only)
     roster             case_id, line, marital, race_code, educ_code, state_fips,
                        income_code, income_code_alt
-    replicate_weights  case_id, weights (array)
+    replicate_weights  case_id, weights (array), or the columns of ``replicate_formula``
     spells             case_id, ordinal, start_clock, stop_clock, description
     diary_days         case_id, diary_day, holiday and further respondent columns
     case_states        case_id, state_id
@@ -43,6 +43,7 @@ class Survey:
     diary_labels: tuple[str, ...] | None = None
     diary_columns: tuple[str, ...] = ()
     unique_minutes: bool = False
+    replicate_formula: tuple[int, str] | None = None
 
     @property
     def work_day(self) -> tuple[str, float]:

@@ -74,16 +74,15 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# half or one and a half times the weight, by case and replicate
+REPLICATE_FORMULA = (
+    "base_weight * case when ((case_id % 1009) * (replicate + 17) + replicate * replicate) % 1009 % 2 = 0"
+    " then 0.5D else 1.5D end"
+)
+
+
 def replicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half or one and a half times the weight, by case and replicate."""
-    case = "(o_orderkey % 1009)"
-    factors = [
-        F.expr(f"case when ({case} * {r + 17} + {r * r}) % 1009 % 2 = 0 then 0.5D else 1.5D end * o_totalprice")
-        for r in range(1, REPLICATES + 1)
-    ]
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("case_id"), F.array(*factors).alias("weights")
-    )
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as case_id", "o_totalprice as base_weight")
 
 
 def _diary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +98,8 @@ def _diary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clock_text(minute):
     at = (minute + clock.DAY_START) % clock.DAY
-    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
-    return F.concat(two(F.floor(at / 60)), F.lit(":"), two(at % 60), F.lit(":00"))
+    two = lambda n: F.substring((n + 100).cast("string"), 2, 2)
+    return F.concat(two(clock.whole(at, 60)), F.lit(":"), two(at % 60), F.lit(":00"))
 
 
 def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +108,7 @@ def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     Events of one minute share their start, so the next start is looked up among the at most
     1440 distinct minutes of a diary; a diary with very many events is never sorted whole.
     """
-    events = _diary_events(spark, sf_dir)
+    events = _diary_events(spark, sf_dir).withColumn("start_clock", _clock_text(F.col("start_min")))
     diary = ["user_id", "diary_date"]
     minutes_used = events.groupBy(*diary, "start_min").agg(F.max("event_id").alias("last_event"))
     following = F.lead("start_min").over(Window.partitionBy(*diary).orderBy("start_min"))
@@ -117,14 +116,14 @@ def spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     day_end = F.when(
         F.col("user_id") % 10 == 0, F.greatest(F.col("start_min"), F.lit(clock.DAY - 1))
     ).otherwise(F.lit(clock.DAY))
-    minutes_used = minutes_used.withColumn("next_min", F.coalesce(following, day_end))
-    stop = F.when(F.col("event_id") == F.col("last_event"), F.col("next_min")).otherwise(F.col("start_min"))
+    minutes_used = minutes_used.withColumn("next_clock", _clock_text(F.coalesce(following, day_end)))
+    last = F.col("event_id") == F.col("last_event")
     return events.join(minutes_used, [*diary, "start_min"]).select(
         _case_id().alias("case_id"),
         F.col("event_id").alias("ordinal"),
         F.col("event_type").alias("description"),
-        _clock_text(F.col("start_min")).alias("start_clock"),
-        _clock_text(stop).alias("stop_clock"),
+        "start_clock",
+        F.when(last, F.col("next_clock")).otherwise(F.col("start_clock")).alias("stop_clock"),
     )
 
 
@@ -186,4 +185,5 @@ def survey(spark: SparkSession, sf_dir: str, *needed: str) -> Survey:
         activity_names=lookups.activity_names(spark),
         work_day_minutes=WORK_DAY_MINUTES,
         diary_columns=("day_of_week", "holiday", "diary_year"),
+        replicate_formula=(REPLICATES, REPLICATE_FORMULA),
     )
