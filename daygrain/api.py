@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from daygrain.operators import estimates, variance
 from daygrain.operators.categorize import label_header, unique_mapping
 from daygrain.operators.reshape import columns_matching, unpivot_activities
-from daygrain.sources.readers import ID_COLUMN, weight_column
+from daygrain.sources.readers import ID_COLUMN, weight_column, without_missing
 
 # more labels than this go through the long form instead of one slot each
 MOST_SLOTS = 64
@@ -80,6 +80,7 @@ def get_min_per_part(df: DataFrame, groups=None, activities=None, simplify=None)
     pairs or a DataFrame of them to the descriptions.
     """
     weight, groups, codes = _check(df, groups, activities, simplify)
+    df = without_missing(df, [weight, *codes])
     if simplify is True:
         cells = _slots(df, weight, groups, {estimates.COLLAPSED_LABEL: codes})
         return estimates.metrics_from_cells(cells, groups)
@@ -132,6 +133,7 @@ def get_SE(df: DataFrame, replicate_weights: DataFrame, groups, activities=None)
     case, so ``df`` may be filtered or in any order.
     """
     weight, groups, codes = _check(df, groups, activities, True)
+    df = without_missing(df, [weight, *codes])
     people = df.select(
         F.col(ID_COLUMN).alias("case_id"),
         F.col(weight).cast("double").alias("weight"),

@@ -127,7 +127,7 @@ def codes_named(names: DataFrame, keyword: str, exclude: Sequence[str] = ()) ->
 
 def keep_codes(minutes: DataFrame, codes: DataFrame) -> DataFrame:
     """Rows of the fact whose code is in a code set."""
-    return minutes.join(F.broadcast(codes.distinct()), "activity", "left_semi")
+    return minutes.join(F.broadcast(distinct_codes(codes)), "activity", "left_semi")
 
 
 def without_nec(description: Column) -> Column:

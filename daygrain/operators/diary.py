@@ -2,7 +2,8 @@
 
 A spell has ``case_id, ordinal, start_min, end_min, description`` with minutes counted from
 4 am. Both rules shrink on the map side to a fixed number of cells per case, so neither a
-long diary nor a hot case travels whole to one task.
+long diary nor a hot case travels whole to one task. For the same reason the selection of
+``cases`` is applied to the cells and not to the spells.
 
 The winner of a cell is found with a minimum or maximum over one packed integer: the
 ranking value in the high bits, the position of the description in a short label list in
@@ -57,11 +58,26 @@ def one_minute_spells(spells: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _label_list(spells: DataFrame, labels: Sequence[str] | None) -> Column:
-    """The descriptions as one array: given, or read from the data as a scalar subquery."""
-    if labels is not None:
-        return F.array(*[F.lit(x) for x in labels])
-    return spells.select("description").agg(F.array_sort(F.collect_set("description"))).scalar()
+def _label_list(spells: DataFrame, labels: Sequence[str] | Column | None) -> Column:
+    """The descriptions as one array.
+
+    A closed list is given as text. Otherwise the list is an array column, usually a scalar
+    subquery over the table the descriptions come from, and by default over the spells.
+    """
+    if labels is None:
+        return described(spells, "description")
+    if isinstance(labels, Column):
+        return labels
+    return F.array(*[F.lit(x) for x in labels])
+
+
+def described(df: DataFrame, column: str) -> Column:
+    """All values of a category column as a sorted array subquery."""
+    return df.agg(F.array_sort(F.collect_set(column))).scalar()
+
+
+def _only(df: DataFrame, cases: DataFrame | None) -> DataFrame:
+    return df if cases is None else df.join(cases.select("case_id"), "case_id", "left_semi")
 
 
 def _position(description: Column, labels: Column) -> Column:
@@ -110,12 +126,14 @@ def _slots_by_period(spells: DataFrame, labels: Column) -> DataFrame:
     return touched.groupBy("case_id", "k").agg(*winners)
 
 
-def five_minute_slots(spells: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+def five_minute_slots(
+    spells: DataFrame, labels: Sequence[str] | Column | None = None, cases: DataFrame | None = None
+) -> DataFrame:
     """One row per case and touched five-minute slot (spells from ``five_minute_spells``)."""
     listed = _label_list(spells, labels)
     slots = F.array(*[f"s{i}" for i in range(SLOTS_PER_PERIOD)])
     return (
-        _slots_by_period(spells, listed)
+        _only(_slots_by_period(spells, listed), cases)
         .select("case_id", "k", F.posexplode(slots).alias("i", "packed"))
         .filter("packed is not null")
         .select(
@@ -157,11 +175,13 @@ def _mode_of_slots(ids: Sequence[Column]) -> Column:
     return F.greatest(*scored)
 
 
-def five_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+def five_minute_sequence(
+    spells: DataFrame, labels: Sequence[str] | Column | None = None, cases: DataFrame | None = None
+) -> DataFrame:
     """The most frequent slot description of every half hour."""
     listed = _label_list(spells, labels)
     names = [f"s{i}" for i in range(SLOTS_PER_PERIOD)]
-    return (
+    sequence = (
         _slots_by_period(spells, listed)
         .withColumns({s: F.col(s) % LABEL_SPACE for s in names})
         .filter(" or ".join(f"{s} > 0" for s in names))
@@ -173,6 +193,7 @@ def five_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None)
             ),
         )
     )
+    return _only(sequence, cases)
 
 
 # ---------------------------------------------------------------------------
@@ -186,7 +207,9 @@ def whole_day_cases(spells: DataFrame) -> DataFrame:
     return last.filter(F.col("last") == clock.DAY).select("case_id")
 
 
-def one_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
+def one_minute_sequence(
+    spells: DataFrame, labels: Sequence[str] | Column | None = None, cases: DataFrame | None = None
+) -> DataFrame:
     """The longest description of every half hour, without building the minutes.
 
     A half-open spell covers ``least(end) - greatest(start)`` minutes of each period it
@@ -214,7 +237,7 @@ def one_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None)
     )
     # more minutes first, then the earlier start
     packed = (F.col("n") * clock.DAY + (clock.DAY - 1 - F.col("first"))) * LABEL_SPACE + F.col("id")
-    return (
+    sequence = (
         per_label.groupBy("case_id", "k")
         .agg(F.max(packed).alias("packed"))
         .select(
@@ -223,6 +246,7 @@ def one_minute_sequence(spells: DataFrame, labels: Sequence[str] | None = None)
             F.element_at(listed, (F.col("packed") % LABEL_SPACE).cast("int")).alias("description"),
         )
     )
+    return _only(sequence, cases)
 
 
 def sequence_arrays(sequence: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from daygrain.operators.estimates import (
     weighted_minutes,
 )
 from daygrain.operators.reshape import metrics_long, pivot_values
+from daygrain.session import cut_lineage
 from daygrain.survey import Survey
 
 AGE_BREAKS = (20, 40, 60, 100)
@@ -303,6 +304,8 @@ def _income_label(df: DataFrame) -> DataFrame:
 
 
 def _shares(est: DataFrame, value: str, s: Survey, drop_nec: bool) -> DataFrame:
+    # a few rows per activity that the quantile and the shares both read
+    est = cut_lineage(est.select("activity", "hh_income", value))
     totalled = breakdowns.with_group_total(est, ["activity"], value, "total")
     kept = _named(breakdowns.at_least_quantile(totalled, "total", LOW_SHARE), s)
     if drop_nec:
@@ -382,14 +385,14 @@ def leisure_by_state(s: Survey) -> DataFrame:
     names = s.state_names.select("state_id", "name")
     return (
         est.select("state_id", F.col("weighted_minutes").alias("total_leisure"))
-        .join(F.broadcast(names), "state_id", "left")
+        .join(names, "state_id", "left")
         .dropna("any")
     )
 
 
 def leisure_by_state_region(s: Survey) -> DataFrame:
     regions = s.state_names.select("name", "region")
-    out = leisure_by_state(s).join(F.broadcast(regions), "name", "left")
+    out = cut_lineage(leisure_by_state(s)).join(regions, "name", "left")
     return breakdowns.with_overall_mean(out, "total_leisure", "mean_leisure").orderBy(
         "total_leisure", "name"
     )
@@ -398,7 +401,7 @@ def leisure_by_state_region(s: Survey) -> DataFrame:
 def states_on_map(s: Survey, map_names: DataFrame, best_only: bool = False) -> DataFrame:
     """Leisure per state next to every map name (column ``region_name``) spelled nearly alike."""
     return breakdowns.stringdist_left_join(
-        leisure_by_state(s), map_names, "name", "region_name", best_only=best_only
+        cut_lineage(leisure_by_state(s)), map_names, "name", "region_name", best_only=best_only
     )
 
 
@@ -459,18 +462,19 @@ def weekend_minutes_long(s: Survey) -> DataFrame:
     return people.join(slots, "case_id", "left").select("case_id", F.inline(rows))
 
 
-def weekday_spells(s: Survey) -> DataFrame:
-    days = diary.select_days(s.diary_days, diary.WEEKDAYS).select("case_id")
-    return s.spells.join(days, "case_id", "left_semi")
+def weekday_cases(s: Survey) -> DataFrame:
+    return diary.select_days(s.diary_days, diary.WEEKDAYS).select("case_id")
 
 
 def weekday_sequence(s: Survey) -> DataFrame:
     """Half-hour sequences of weekday diaries by the five-minute rule."""
-    return diary.five_minute_sequence(diary.five_minute_spells(weekday_spells(s)), s.diary_labels)
+    spells = diary.five_minute_spells(s.spells)
+    return diary.five_minute_sequence(spells, s.diary_labels, weekday_cases(s))
 
 
 def weekday_slots(s: Survey) -> DataFrame:
-    return diary.five_minute_slots(diary.five_minute_spells(weekday_spells(s)), s.diary_labels)
+    spells = diary.five_minute_spells(s.spells)
+    return diary.five_minute_slots(spells, s.diary_labels, weekday_cases(s))
 
 
 def weekday_slots_complete(s: Survey) -> DataFrame:
@@ -484,8 +488,7 @@ def whole_day_cases(s: Survey) -> DataFrame:
 def whole_day_sequence(s: Survey) -> DataFrame:
     """Half-hour sequences of all complete diaries by the one-minute rule."""
     spells = diary.one_minute_spells(s.spells)
-    complete = spells.join(diary.whole_day_cases(spells), "case_id", "left_semi")
-    return diary.one_minute_sequence(complete, s.diary_labels)
+    return diary.one_minute_sequence(spells, s.diary_labels, diary.whole_day_cases(spells))
 
 
 def demographics_weekend(s: Survey) -> DataFrame:

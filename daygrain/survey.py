@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrain import lookups
 from daygrain.operators.breakdowns import one_per_case
 from daygrain.operators.categorize import CURATED_V2, Labelling
 from daygrain.operators.reshape import columns_matching, unpivot_activities
-from daygrain.sources.readers import weight_column
+from daygrain.sources.readers import weight_column, without_missing
 
 
 @dataclass
@@ -40,7 +40,7 @@ class Survey:
     state_names: DataFrame | None = None
     activity_names: DataFrame | None = None
     work_day_minutes: float = 120
-    diary_labels: tuple[str, ...] | None = None
+    diary_labels: tuple[str, ...] | Column | None = None
     diary_columns: tuple[str, ...] = ()
     unique_minutes: bool = False
     replicate_formula: tuple[int, str] | None = None
@@ -67,6 +67,7 @@ class Survey:
         """Build the canonical frames from the survey's published files."""
         spark = summary.sparkSession
         weight = weight_column(summary)
+        summary = without_missing(summary, [weight, *columns_matching(summary)])
         out = cls(unique_minutes=True)
         out.respondents = summary.select(
             F.col("TUCASEID").alias("case_id"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from daygrain import lookups
 from daygrain.functions import clock
+from daygrain.operators import diary
 from daygrain.survey import Survey
 
 SCHEMAS = {
@@ -153,7 +154,7 @@ def case_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     regions = table(spark, sf_dir, "region")
-    return nations.join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("state_id"), F.col("n_name").alias("name"), F.col("r_name").alias("region")
     )
 
@@ -180,8 +181,11 @@ BUILDERS = {
 def survey(spark: SparkSession, sf_dir: str, *needed: str) -> Survey:
     """A survey with the named frames."""
     frames = {name: BUILDERS[name](spark, sf_dir) for name in needed}
+    # the descriptions of the spells, read from the one column they come from
+    labels = diary.described(table(spark, sf_dir, "events"), "event_type") if "spells" in needed else None
     return Survey(
         **frames,
+        diary_labels=labels,
         activity_names=lookups.activity_names(spark),
         work_day_minutes=WORK_DAY_MINUTES,
         diary_columns=("day_of_week", "holiday", "diary_year"),
