@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.functions import clock
@@ -208,43 +208,47 @@ def whole_day_cases(spells: DataFrame) -> DataFrame:
 
 
 def one_minute_sequence(
-    spells: DataFrame, labels: Sequence[str] | Column | None = None, cases: DataFrame | None = None
+    spells: DataFrame,
+    labels: Sequence[str] | Column | None = None,
+    cases: DataFrame | None = None,
+    whole_days: bool = False,
 ) -> DataFrame:
     """The longest description of every half hour, without building the minutes.
 
     A half-open spell covers ``least(end) - greatest(start)`` minutes of each period it
-    touches, which counts exactly the minutes a full grid would hold.
+    touches, which counts exactly the minutes a full grid would hold. ``whole_days`` keeps
+    the diaries that reach the end of the day, known from the same pass.
     """
     listed = _label_list(spells, labels)
     start, end, k = F.col("start_min"), F.col("end_min"), F.col("k")
     covered = (
         spells.filter(start < end)
-        .filter("description is not null")
         .select(
             "case_id",
             "start_min",
             "end_min",
             _position(F.col("description"), listed).alias("id"),
-            F.explode(
-                F.sequence(clock.whole(start, PERIOD), clock.whole(end - 1, PERIOD))
-            ).alias("k"),
+            F.explode(F.sequence(clock.whole(start, PERIOD), clock.whole(end - 1, PERIOD))).alias("k"),
         )
         .withColumn("first", F.greatest(start, k * PERIOD))
         .withColumn("n", F.least(end, (k + 1) * PERIOD) - F.col("first"))
     )
     per_label = covered.groupBy("case_id", "k", "id").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first")
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("end_min").alias("last")
     )
-    # more minutes first, then the earlier start
+    # more minutes first, then the earlier start; minutes without description do not count
     packed = (F.col("n") * clock.DAY + (clock.DAY - 1 - F.col("first"))) * LABEL_SPACE + F.col("id")
-    sequence = (
-        per_label.groupBy("case_id", "k")
-        .agg(F.max(packed).alias("packed"))
-        .select(
-            "case_id",
-            (F.col("k") + 1).alias("period"),
-            F.element_at(listed, (F.col("packed") % LABEL_SPACE).cast("int")).alias("description"),
-        )
+    periods = per_label.groupBy("case_id", "k").agg(
+        F.max(F.when(F.col("id") > 0, packed)).alias("packed"), F.max("last").alias("last")
+    )
+    if whole_days:
+        # a case has at most 48 rows here
+        reached = F.max("last").over(Window.partitionBy("case_id"))
+        periods = periods.withColumn("reached", reached).filter(F.col("reached") == clock.DAY)
+    sequence = periods.filter("packed is not null").select(
+        "case_id",
+        (k + 1).alias("period"),
+        F.element_at(listed, (F.col("packed") % LABEL_SPACE).cast("int")).alias("description"),
     )
     return _only(sequence, cases)
 

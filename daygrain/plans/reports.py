@@ -488,7 +488,7 @@ def whole_day_cases(s: Survey) -> DataFrame:
 def whole_day_sequence(s: Survey) -> DataFrame:
     """Half-hour sequences of all complete diaries by the one-minute rule."""
     spells = diary.one_minute_spells(s.spells)
-    return diary.one_minute_sequence(spells, s.diary_labels, diary.whole_day_cases(spells))
+    return diary.one_minute_sequence(spells, s.diary_labels, whole_days=True)
 
 
 def demographics_weekend(s: Survey) -> DataFrame:
