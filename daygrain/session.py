@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # reports build hundreds of column expressions; do not record a call site for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
