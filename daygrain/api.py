@@ -36,9 +36,9 @@ def _row_minutes(codes: Sequence[str]) -> Column:
 
 
 def _check(df: DataFrame, groups, activities, simplify) -> tuple[str, list[str], list[str]]:
-    weight = weight_column(df)
+    weight, groups = weight_column(df), estimates.group_list(groups)
     codes = list(dict.fromkeys(activities)) if activities is not None else columns_matching(df)
-    missing = [c for c in [*(groups or []), *codes] if c not in df.columns]
+    missing = [c for c in [*groups, *codes] if c not in df.columns]
     if missing:
         raise ValueError(f"data has no column {', '.join(missing)}")
     if not codes:
@@ -48,7 +48,7 @@ def _check(df: DataFrame, groups, activities, simplify) -> tuple[str, list[str],
             raise ValueError("simplify must have the columns 'activity' and 'description'")
     elif simplify not in (None, True, False) and not all(len(pair) == 2 for pair in simplify):
         raise ValueError("simplify must be True, (activity, description) pairs or a DataFrame")
-    return weight, list(groups or []), codes
+    return weight, groups, codes
 
 
 def _slots(df, weight, groups, by_label: dict[str | None, list[str]]) -> DataFrame:
@@ -112,13 +112,13 @@ def get_min_per_part(df: DataFrame, groups=None, activities=None, simplify=None)
 def get_minutes(df: DataFrame, groups=None, activities=None, simplify=None) -> DataFrame:
     """Weighted mean minutes per day by activity and group."""
     out = get_min_per_part(df, groups, activities, simplify)
-    return out.select("activity", *(groups or []), "weighted_minutes")
+    return out.select("activity", *estimates.group_list(groups), "weighted_minutes")
 
 
 def get_participation(df: DataFrame, groups=None, activities=None, simplify=None) -> DataFrame:
     """Weighted share of people who spent any time in the activity."""
     out = get_min_per_part(df, groups, activities, simplify)
-    return out.select("activity", *(groups or []), "participation_rate")
+    return out.select("activity", *estimates.group_list(groups), "participation_rate")
 
 
 def apply_weights(df: DataFrame, groups, activities=None) -> DataFrame:

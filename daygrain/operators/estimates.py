@@ -26,6 +26,11 @@ COLLAPSED_LABEL = "All activites provided"
 METRICS = ("weighted_minutes", "participation_rate", "minutes_per_participant")
 
 
+def group_list(groups: str | Sequence[str] | None) -> list[str]:
+    """Group columns as a list; one column may be given as text."""
+    return [groups] if isinstance(groups, str) else list(groups or [])
+
+
 def _restrict(minutes: DataFrame, activities) -> DataFrame:
     if activities is None:
         return minutes
@@ -193,7 +198,7 @@ def _by_code(respondents, minutes, groups, activities, unique_minutes) -> DataFr
 def per_participant(
     respondents: DataFrame,
     minutes: DataFrame,
-    groups: Sequence[str] | None = None,
+    groups: str | Sequence[str] | None = None,
     activities: Sequence[str] | Column | DataFrame | None = None,
     simplify: bool | Labelling | DataFrame | None = None,
     work_day: tuple[str, float] | None = None,
@@ -207,7 +212,7 @@ def per_participant(
     boolean column ``work_day`` to group by, read in the same pass.
     ``unique_minutes=True`` promises one row per (case, activity) and saves a shuffle.
     """
-    groups = list(groups or [])
+    groups = group_list(groups)
     if work_day is not None and activities is not None:
         raise ValueError("the work-day flag is read from all codes; filter the labels afterwards")
     wanted = _restrict(minutes, activities)
@@ -228,13 +233,13 @@ def per_participant(
 def weighted_minutes(respondents, minutes, groups=None, activities=None, simplify=None, **options) -> DataFrame:
     """Weighted mean minutes per activity and group."""
     out = per_participant(respondents, minutes, groups, activities, simplify, **options)
-    return out.select("activity", *(groups or []), "weighted_minutes")
+    return out.select("activity", *group_list(groups), "weighted_minutes")
 
 
 def participation(respondents, minutes, groups=None, activities=None, simplify=None, **options) -> DataFrame:
     """Weighted share of people with any time in the activity."""
     out = per_participant(respondents, minutes, groups, activities, simplify, **options)
-    return out.select("activity", *(groups or []), "participation_rate")
+    return out.select("activity", *group_list(groups), "participation_rate")
 
 
 def work_day_flag(minutes: DataFrame, threshold: float = 120, code: str = "t05") -> DataFrame:

@@ -236,9 +236,23 @@ def leisure_standard_errors(s: Survey) -> DataFrame:
     return variance.with_band(est)
 
 
-def with_trend(long: DataFrame, groups: Sequence[str], x: str) -> DataFrame:
-    """Smoothed value of every metric series, for the charts that draw one."""
-    return trends.loess_trend(long, groups, x, "value")
+def with_trend(report, groups: Sequence[str], x: str, y: str = "value"):
+    """The same report with the smoothed value of every series, as its chart draws it."""
+
+    def smoothed(s: Survey) -> DataFrame:
+        return trends.loess_trend(report(s), groups, x, y)
+
+    return smoothed
+
+
+household_trend = with_trend(household_by_sex_year_agebin, ["grouping", "name"], "year")
+cooking_grocery_trend = with_trend(cooking_grocery_by_sex_year_agebin, ["grouping", "name"], "year")
+work_trend = with_trend(work_by_year, ["name"], "year")
+job_search_trend = with_trend(job_search_by_year, ["name"], "year")
+garden_trend = with_trend(garden_by_year, ["name"], "year")
+security_trend = with_trend(security_by_year, ["activity"], "year", "minutes_per_participant")
+cooking_trend = with_trend(cooking_by_sex_age, ["sex", "name"], "age")
+grocery_trend = with_trend(grocery_by_sex_age, ["sex", "name"], "age")
 
 
 # ---------------------------------------------------------------------------
@@ -261,10 +275,16 @@ def home_activities_by_age_workday(s: Survey) -> DataFrame:
     return category_by_age_workday(s).filter(F.col("activity").isin(*lookups.HOME_CATEGORIES))
 
 
+def _workday_spline(est: DataFrame) -> DataFrame:
+    return trends.spline_trend(est, ["activity", "work_day"], "age", "weighted_minutes")
+
+
 def home_activities_spline(s: Survey) -> DataFrame:
-    return trends.spline_trend(
-        home_activities_by_age_workday(s), ["activity", "work_day"], "age", "weighted_minutes"
-    )
+    return _workday_spline(home_activities_by_age_workday(s))
+
+
+def category_spline(s: Survey) -> DataFrame:
+    return _workday_spline(category_by_age_workday(s))
 
 
 # ---------------------------------------------------------------------------

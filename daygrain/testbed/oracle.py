@@ -749,14 +749,42 @@ ORACLE["sex_gap_wide"] = _select(
   SELECT age, max(CASE WHEN sex = 1 THEN weighted_minutes END) AS "M",
          max(CASE WHEN sex = 2 THEN weighted_minutes END) AS "F" FROM est GROUP BY age)""",
 )
-ORACLE["trend_loess_by_group"] = _select(
-    [
-        RESPONDENT, FACT, PATTERNS_V1, MAPPING, *_collapsed(WORKING), _people(["year"]), *_estimates(["year"]),
+
+
+def _year_trend(where: str, extra: Sequence[str] = (), people_where: str = "true") -> str:
+    ctes = [
+        RESPONDENT, FACT, *extra, *_collapsed(where), _people(["year"], where=people_where), *_estimates(["year"]),
         f"long AS (SELECT activity, year, {METRIC_NAME}, value FROM"
         " (UNPIVOT est ON weighted_minutes, participation_rate, minutes_per_participant INTO NAME metric VALUE value))",
-        *_loess("long", ["activity", "name"], "year", "value"),
-    ],
-    f"SELECT activity, year, name, {_r('value')}, {_r('trend')} FROM fitted",
+        *_loess("long", ["name"], "year", "value"),
+    ]
+    return _select(ctes, f"SELECT activity, year, name, {_r('value')}, {_r('trend')} FROM fitted")
+
+
+def _sex_age_trend(where: str) -> str:
+    ctes = [
+        RESPONDENT, FACT, *_collapsed(where), _people(["sex", "age"]), *_estimates(["sex", "age"]),
+        f"long AS (SELECT activity, {SEX}, age, {METRIC_NAME}, value FROM"
+        " (UNPIVOT est ON weighted_minutes, participation_rate, minutes_per_participant INTO NAME metric VALUE value))",
+        *_loess("long", ["sex", "name"], "age", "value"),
+    ]
+    return _select(ctes, f"SELECT activity, sex, age, name, {_r('value')}, {_r('trend')} FROM fitted")
+
+
+ORACLE["trend_loess_by_group"] = _year_trend(WORKING, (PATTERNS_V1, MAPPING))
+ORACLE["job_search_trend"] = _year_trend(f"code IN {_in(lookups.JOB_SEARCH_CODES)}")
+ORACLE["garden_trend"] = _year_trend(_named_like("gard"), (NAMES,), "age >= 20 AND age <= 40")
+ORACLE["cooking_trend"] = _sex_age_trend(COOKING)
+ORACLE["grocery_trend"] = _sex_age_trend(GROCERY)
+ORACLE["category_spline"] = _select(
+    [*BY_WORKDAY, *_regression("by_workday", ["activity", "work_day"], "age", "weighted_minutes", knot=True)],
+    f"SELECT activity, age, work_day, {_r('weighted_minutes')}, {_r('trend')} FROM fitted",
+)
+ORACLE["cooking_grocery_trend"] = _agebin(
+    f"({COOKING} OR {GROCERY})",
+    (),
+    _loess("long", ["grouping", "name"], "year", "value"),
+    f"SELECT sex, year, age_group, name, {_r('value')}, grouping, {_r('trend')} FROM fitted",
 )
 ORACLE["household_trend"] = _agebin(
     HOUSEHOLD,

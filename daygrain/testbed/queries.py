@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from daygrain import lookups
 from daygrain.functions import labels
-from daygrain.operators import categorize, diary, reshape, trends
+from daygrain import api, lookups
+from daygrain.operators import categorize, diary, reshape
 from daygrain.operators.estimates import participation, per_participant, weighted_minutes
 from daygrain.plans import reports
 from daygrain.testbed import tables
@@ -100,8 +100,6 @@ def _wide_unpivot(s):
 
 
 def _wide_estimates(s):
-    from daygrain import api
-
     wide = _wide_form(s).withColumnsRenamed({"case_id": "TUCASEID", "weight": "TUFNWGTP"})
     return api.get_min_per_part(wide, ["sex", "year"])
 
@@ -116,15 +114,6 @@ def _states_on_map(spark, sf_dir):
     return rounded(out.select("name", "state_id", "total_leisure", "region_name", "distance"))
 
 
-def _work_by_year_trend(s):
-    return reports.with_trend(reports.work_by_year(s), ["activity", "name"], "year")
-
-
-def _household_trend(s):
-    long = reports.household_by_sex_year_agebin(s)
-    return reports.with_trend(long, ["grouping", "name"], "year")
-
-
 def _security(s):
     return reports.security_by_year(s, outlier=tables.OUTLIER_YEAR)
 
@@ -147,9 +136,15 @@ QUERIES: dict[str, Query] = {
     "tv_by_age_sex": _report(reports.tv_by_age_sex, *PEOPLE),
     "trend_cubic": _report(reports.tv_cubic, *PEOPLE),
     "trend_loess": _report(reports.tv_by_age_wide, *PEOPLE),
-    "trend_loess_by_group": _report(_work_by_year_trend, *PEOPLE),
-    "household_trend": _report(_household_trend, *PEOPLE),
+    "trend_loess_by_group": _report(reports.work_trend, *PEOPLE),
+    "household_trend": _report(reports.household_trend, *PEOPLE),
+    "cooking_grocery_trend": _report(reports.cooking_grocery_trend, *PEOPLE),
+    "job_search_trend": _report(reports.job_search_trend, *PEOPLE),
+    "garden_trend": _report(reports.garden_trend, *PEOPLE),
+    "cooking_trend": _report(reports.cooking_trend, *PEOPLE),
+    "grocery_trend": _report(reports.grocery_trend, *PEOPLE),
     "trend_spline4": _report(reports.home_activities_spline, *PEOPLE),
+    "category_spline": _report(reports.category_spline, *PEOPLE),
     "income_age_spline": _report(reports.income_age_spline, *INCOME),
     "sex_gap_wide": _report(reports.tv_sex_gap, *PEOPLE),
     "minutes_formatted": _report(reports.tv_formatted, *PEOPLE),

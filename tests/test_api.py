@@ -30,6 +30,11 @@ def test_minutes_and_participation(wide):
     assert got["t050201", 1].minutes_per_participant == 0
 
 
+def test_one_group_as_text(wide):
+    a = daygrain.get_participation(wide, "TESEX").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, daygrain.get_participation(wide, ["TESEX"]).collect()))
+
+
 def test_collapsing_three_ways(spark, wide):
     pairs = api.descriptions(wide)
     mapping = spark.createDataFrame(pairs, "activity string, description string")

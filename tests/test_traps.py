@@ -225,6 +225,14 @@ def test_whole_days_and_arrays(spark):
     assert row.sequence == ["A"] * 48
 
 
+def test_whole_days_in_the_same_pass(spark):
+    s = spells(spark, [(1, 1, 0, 100, "A"), (1, 2, 100, 1440, None), (2, 1, 0, 1439, "A"), (3, 1, 0, 1440, None)])
+    got = diary.one_minute_sequence(s, whole_days=True)
+    assert {(r.case_id, r.period) for r in got.collect()} == {(1, p) for p in (1, 2, 3, 4)}
+    chosen = spark.createDataFrame([(2,)], "case_id long")
+    assert {r.case_id for r in diary.one_minute_sequence(s, cases=chosen).collect()} == {2}
+
+
 def test_select_days(spark):
     days = spark.createDataFrame([(1, 1, 0), (2, 2, 0), (3, 2, 1)], "case_id long, diary_day int, holiday int")
     assert [x.case_id for x in diary.select_days(days, diary.WEEKDAYS).collect()] == [2]
