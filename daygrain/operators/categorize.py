@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +77,22 @@ class Labelling:
         return found.otherwise(F.lit(labels.index(None))) if self.unmapped else found
 
     def among(self, code: Column, wanted: str) -> Column:
-        """Whether the code's label contains a regular expression, case-sensitively."""
-        kept = {d for d in self.labels if d is not None and re.search(wanted, d)}
-        return F.coalesce(self.description(code).isin(*kept), F.lit(False))
+        """Whether the code's label contains a regular expression, case-sensitively.
+
+        Neighbouring patterns with the same answer form one alternation, so a filter tests a
+        code against a few expressions and not against the whole list.
+        """
+        blocks = [
+            (answer, "|".join(pattern for pattern, _ in run))
+            for answer, run in groupby(self.patterns, lambda x: re.search(wanted, x[1]) is not None)
+        ]
+        if not blocks[-1][0]:
+            blocks.pop()
+        out = None
+        for answer, pattern in blocks:
+            hit = code.rlike(pattern)
+            out = F.when(hit, answer) if out is None else out.when(hit, answer)
+        return F.lit(False) if out is None else out.otherwise(False)
 
 
 CURATED = Labelling(lookups.CATEGORIES_V1)

@@ -67,16 +67,13 @@ def read_table(
 
 def read_directory(spark: SparkSession, folder: str, suffix: str = ".dat", sep: str = ",") -> dict[str, DataFrame]:
     """Every file of a folder as a table and temporary view named after the file."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
     out = {}
-    for path in sorted(f.getPath().toString() for f in files):
-        name = path.rsplit("/", 1)[-1]
-        if name.endswith(suffix):
-            table = name[: -len(suffix)]
-            out[table] = read_table(spark, path, sep)
-            out[table].createOrReplaceTempView(table)
+    # only the names of the files are read here
+    for path in sorted(row.path for row in listing.select("path").collect()):
+        table = path.rsplit("/", 1)[-1][: -len(suffix)]
+        out[table] = read_table(spark, path, sep)
+        out[table].createOrReplaceTempView(table)
     return out
 
 

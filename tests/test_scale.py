@@ -2,7 +2,6 @@
 
 import re
 
-import duckdb
 import pytest
 
 import __spark_entry__ as entry

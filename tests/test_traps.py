@@ -408,3 +408,15 @@ def test_plain_prefix_equals_regular_expression(spark):
     for pattern, _ in lookups.CATEGORIES_V1:
         both = df.select(categorize.pattern_hit(F.col("c"), pattern).alias("a"), F.col("c").rlike(pattern).alias("b"))
         assert both.filter("a <> b").count() == 0
+
+
+@pytest.mark.parametrize("wanted", ["Work", "^Household Activities$", "Caring", "nothing", "."])
+def test_codes_among_labels(spark, wanted):
+    import re
+
+    names = [f"t{code}" for code, _ in lookups.ACTIVITY_NAMES] + ["t990101"]
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    overlapping = Labelling((("t01.*", "Work"), ("t0101.*", "Sleep"), ("t02.*", "Other"), ("t.*", "Work too")))
+    for labelling in (CURATED, overlapping):
+        rows = df.select(labelling.description(F.col("c")), labelling.among(F.col("c"), wanted)).collect()
+        assert all(kept == (label is not None and bool(re.search(wanted, label))) for label, kept in rows)
