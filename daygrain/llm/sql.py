@@ -1,0 +1,36 @@
+"""DuckDB SQL for the queries that SQL can express."""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS no
+    FROM documents
+), solid AS (
+    SELECT *, lead(line, 1) OVER w AS second, lead(line, 2) OVER w AS third, lead(no, 2) OVER w AS last
+    FROM lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+    WINDOW w AS (PARTITION BY doc_id ORDER BY no)
+), placed AS (
+    SELECT doc_id, no, last,
+           row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, no) AS occurrence
+    FROM solid WHERE last IS NOT NULL
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(no, last + 1)) AS no FROM placed WHERE occurrence > 1
+), kept AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(c.no) AS n_removed,
+           string_agg(line, chr(10) ORDER BY l.no) FILTER (WHERE c.no IS NULL) AS text
+    FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.no = l.no GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+OP5 = f"""
+WITH hashed AS (SELECT doc_id, sha256({LOWER}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM hashed WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+ORACLE = {"op1_line_dedup": OP1, "op5_exact_dedup": OP5}
