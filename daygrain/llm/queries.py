@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import exact_dedup, line_dedup, simhash
+from daygrain.llm import byte_bpe, exact_dedup, line_dedup, simhash
 from daygrain.llm.common import read
 
 
@@ -29,4 +30,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_exact_dedup)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded bytes of every document."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_exact_dedup, op10_byte_bpe)}
