@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import byte_bpe, exact_dedup, line_dedup, simhash
+from daygrain.llm import byte_bpe, exact_dedup, line_dedup, packing, simhash
 from daygrain.llm.common import read
 
 
@@ -30,10 +30,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(read(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_exact_dedup, op8_packing, op10_byte_bpe)}
