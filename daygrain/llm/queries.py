@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import byte_bpe, exact_dedup, line_dedup, packing, simhash
+from daygrain.llm import byte_bpe, exact_dedup, line_dedup, packing, sharding, simhash
 from daygrain.llm.common import read
 
 
@@ -30,6 +30,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard, of 40 with nearly the same bytes, and the slot in it of every document."""
+    placed = sharding.minimax_shards(read(spark, sf_dir, "documents"), 40)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,4 +55,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_exact_dedup, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op5_exact_dedup, op7_sharding, op8_packing, op10_byte_bpe)}
