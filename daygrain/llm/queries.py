@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import byte_bpe, exact_dedup, line_dedup, packing, secret_scan, sharding, simhash
+from daygrain.llm import byte_bpe, exact_dedup, language, line_dedup, packing, secret_scan, sharding, simhash
 from daygrain.llm.common import read
 
 
@@ -47,6 +47,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(modulus: int) -> Column:
+    """The fold of a document: CRC-32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from four of five folds."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold(5) == 0)
+    found = language.identify(docs, ~F.col("held_out"), carry=("held_out",))
+    return found.select("doc_id", "held_out", F.col("lang_best").alias("lang_pred"), "score", "rejected")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     docs = read(spark, sf_dir, "documents").withColumn("text_sha256", exact_dedup.whole_digest(F.col("text")))
@@ -80,4 +92,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_secret_scan, op5_exact_dedup, op7_sharding, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_secret_scan, op4_language, op5_exact_dedup, op7_sharding, op8_packing, op10_byte_bpe)}
