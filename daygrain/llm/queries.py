@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import byte_bpe, exact_dedup, language, line_dedup, packing, secret_scan, sharding, simhash
+from daygrain.llm import byte_bpe, exact_dedup, language, line_dedup, packing, quality, secret_scan, sharding, simhash
 from daygrain.llm.common import read
 
 
@@ -86,10 +86,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from three of four folds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, read(spark, sf_dir, "labels"), fold(4) != 2)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(read(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_secret_scan, op4_language, op5_exact_dedup, op7_sharding, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_secret_scan, op4_language, op5_exact_dedup, op7_sharding, op8_packing, op9_quality, op10_byte_bpe)}
