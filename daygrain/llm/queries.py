@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import byte_bpe, exact_dedup, language, line_dedup, packing, quality, secret_scan, sharding, simhash
+from daygrain.llm import byte_bpe, exact_dedup, language, line_dedup, packing, quality, secret_scan, sharding, simhash, vector_dedup
 from daygrain.llm.common import read
 
 
@@ -67,6 +67,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_dedup.similar_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard, of 40 with nearly the same bytes, and the slot in it of every document."""
     placed = sharding.minimax_shards(read(spark, sf_dir, "documents"), 40)
@@ -99,4 +104,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_secret_scan, op4_language, op5_exact_dedup, op7_sharding, op8_packing, op9_quality, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_secret_scan, op4_language, op5_exact_dedup, op6_vector_dedup, op7_sharding, op8_packing, op9_quality, op10_byte_bpe)}
