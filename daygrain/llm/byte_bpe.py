@@ -6,6 +6,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +17,29 @@ from pyspark.sql import functions as F
 from daygrain.llm.common import ship
 from daygrain.llm.pretokenize import LONG, pieces, split_tokens
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordCache(dict):
-    """Ids of words as little-endian 32-bit integers; emptied when full, as every entry can be made again."""
+    """Packed ids of words. When it is full, entries become the old ones, and old ones that are not used go."""
 
     def __init__(self, encode, most: int = CACHED_WORDS):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most // 2, {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = packed(self.encode(word))
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        self[word] = ids
         return ids
 
 
@@ -46,7 +56,7 @@ class ByteBpe:
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(vocabulary), np.uint8)
         self.decimals = [str(i) for i in range(len(vocabulary))]
-        self.cache = WordCache(lambda word: np.array(self.merge(word.encode()), "<u4").tobytes())
+        self.cache = WordCache(lambda word: self.merge(word.encode()))
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: adjacent parts are merged, least rank first and leftmost among equals."""

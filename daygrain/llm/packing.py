@@ -11,12 +11,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.byte_bpe import CACHED_WORDS, encode_texts
+from daygrain.llm.byte_bpe import CACHED_WORDS, WordCache, encode_texts, packed
 from daygrain.llm.common import ship, stored
 from daygrain.llm.pretokenize import split_tokens
 
@@ -25,27 +24,30 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 2, 5, 10
 SOLID = 0.995  # a bin this full is handed on whole
 
 
+@functools.cache
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it is visible, else one from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class JsonBpe:
-    """Ids by a tokenizer file, word by word with a cache; strings of special tokens give their ids."""
+    """Ids by a byte-level tokenizer file, word by word with a cache; strings of special tokens give their ids."""
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.splitter = re.compile("|".join(f"({re.escape(s)})" for s in self.special)) if self.special else None
-        self.cache: dict[str, bytes] = {}
-        self.most = most
-
-    def _learn(self, words: set[str]) -> None:
-        missing = words.difference(self.cache)
-        if len(self.cache) + len(missing) > self.most:
-            self.cache.clear()
-            missing = words
-        unseen = list(missing)
-        for word, coded in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-            self.cache[word] = np.array(coded.ids, "<u4").tobytes()
+        self.letters = byte_letters()
+        self.cache = WordCache(self._ids, most)
+
+    def _ids(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -58,11 +60,10 @@ class JsonBpe:
             parts += own
             owners += [i] * len(own)
         words = split_tokens(["" if p in self.special else p for p in parts])
-        self._learn(set().union(*words))
         of = self.cache.__getitem__
         out = [b""] * len(texts)
         for i, part, own in zip(owners, parts, words):
-            out[i] += np.uint32(self.special[part]).tobytes() if part in self.special else b"".join(map(of, own))
+            out[i] += packed([self.special[part]]) if part in self.special else b"".join(map(of, own))
         return out
 
 
@@ -82,7 +83,7 @@ def document_pieces(df: DataFrame, path: str, text: str, doc_id: str, capacity:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(path)
-        end = np.uint32(end_id).tobytes()
+        end = packed([end_id])
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for row, coded in enumerate(encode_texts(bpe, batch["_text"].tolist())):
