@@ -1,4 +1,4 @@
-"""Session settings and the shared place where small intermediate tables are cut from their lineage."""
+"""Session settings and the shared folder in which intermediate tables are cut from their lineage."""
 
 from __future__ import annotations
 
@@ -34,19 +34,23 @@ def local_session(cpus: int = 8, **settings: str) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a small aggregated table once so that later steps do not recompute its inputs.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, named by ``spark.checkpoint.dir``.
 
-    The files go to the shared folder named by ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="daygrain-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder, so that later steps do not recompute their inputs."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
