@@ -5,13 +5,14 @@ from __future__ import annotations
 import functools
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import daygrain
-from daygrain.session import cut_lineage
+from daygrain.session import checkpoint_folder, cut_lineage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,6 +26,14 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows reread from a Parquet table in a new folder beside the checkpoints."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}/{name}.parquet"
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

@@ -95,9 +95,10 @@ def near_duplicates(
     distance: int = 2,
     blocks: int = 6,
 ) -> DataFrame:
-    """One row per input row: id, ``carry``, ``print`` (signed 64 bits) and ``component_id``.
+    """One row per input row: id, ``carry``, ``print`` (signed 64 bits), ``root`` and ``component_id``.
 
-    ``component_id`` is the least id reachable over links of fingerprints at up to ``distance`` bits.
+    Fingerprints at up to ``distance`` bits are linked. ``root`` is the least fingerprint of a component, as a
+    signed integer, and ``component_id`` the least id in it.
     Documents with the same fingerprint are one node: copies are never paired.
 
     Null and empty texts have fingerprint zero and link like any other. Null ids take part but never name
@@ -126,7 +127,28 @@ def near_duplicates(
         .select("print", "_least", F.coalesce("root", "print").alias("root"))
     )
     named = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
-    by_print = stored(linked.join(named, "root").select("print", "component_id"))
+    by_print = stored(linked.join(named, "root").select("print", "root", "component_id"))
     return rows.join(by_print, "print").select(
-        F.col("_id").alias(doc_id), *[F.col(f"_carry_{c}").alias(c) for c in carry], "print", "component_id"
+        F.col("_id").alias(doc_id), *[F.col(f"_carry_{c}").alias(c) for c in carry], "print", "root", "component_id"
     )
+
+
+def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``df`` with one row of each component: the one with the least id, among equal ids the least text hash.
+
+    Null ids come last. Of rows with the same id and text one stays, whichever. The other rules are those of
+    :func:`near_duplicates`.
+    """
+    key = [F.xxhash64(F.col(doc_id)).alias("_id_key"), F.xxhash64(F.col(text)).alias("_text_key")]
+    keys = ["_id_key", "_text_key"]
+    keyed = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *key)
+    found = near_duplicates(keyed, "_text", "_id", carry=tuple(keys), **options)
+    winners = stored(
+        found.groupBy("root")
+        .agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), *keys)).alias("_best"))
+        .select("_best._id_key", "_best._text_key")
+    )
+    rows = df.select(*key, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    # both steps use the same keys, so that whole rows are dealt once
+    stay = rows.join(winners, keys, "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row"))
+    return stay.select(*[F.col("_row")[c].alias(c) for c in df.columns])
