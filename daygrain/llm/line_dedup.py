@@ -46,7 +46,7 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
 
     Every run of ``size`` consecutive non-blank lines is a window, identified by 128 hash bits. A window
     that occurs several times in the corpus stays where it occurs first, by id (null ids last), then text,
-    then line; the lines under all its later occurrences go, with blank lines between them. Overlapping
+    then line; the lines under all its later occurrences go, with blank lines inside a window. Overlapping
     windows cover their lines together. Every removed line has an equal line that stays at an earlier place.
 
     A null text stays null, with no lines; a text of fewer than ``size`` non-blank lines is not changed.

@@ -130,16 +130,14 @@ def train(
     ``learn`` is a condition on ``doc_id`` that both the labels and the texts must meet. About ``sample``
     positives and as many unlabelled texts are chosen by a hash of the id; their whole texts are described
     where they lie, and only features come to the driver. The prior is the share of positives among all
-    labelled rows that may be learnt from. Without any positive, every text gets the prior as score.
+    labelled rows that may be learnt from. Without any positive text, every text gets the
+    prior as score (one half if that is unknown or certain).
     """
     ship(df.sparkSession)
     marked = labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     marked = marked.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label"))
     share = marked.agg(F.avg((F.col("_label") == 1).cast("double")), F.sum((F.col("_label") == 1).cast("long"))).first()
     prior, positives = (share[0] or 0.5), (share[1] or 0)
-    if not positives:
-        odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
-        return Network(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), odds)
     space = 1 << 30
 
     def chosen(column: str, seed: int, total: int) -> Column:
@@ -165,6 +163,9 @@ def train(
     found = sorted(found.collect(), key=lambda r: (r["x"], r["p"], r["u"]))
     x = np.array([r["x"] for r in found], float).reshape(-1, WIDTH)
     p, u = np.array([r["p"] for r in found], bool), np.array([r["u"] for r in found], bool)
+    if not p.any():
+        odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
+        return Network(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), odds)
     return fit(x[p], x[u] if u.any() else x[p], prior)
 
 

@@ -1,0 +1,151 @@
+"""Learned operators: secrets against plain patterns, languages and quality by held-out accuracy."""
+
+import math
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from daygrain.llm import language, quality, queries, secret_scan
+from tests.llm.data import ROWS, SECRET
+
+SF = "/root/testdata/sf0.01"
+
+
+# --- secrets -----------------------------------------------------------------------------------------
+
+
+def spans_by_hand(text):
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = {
+        "assign": (rf"({names})[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    }
+    found = []
+    for kind, (pattern, holds) in patterns.items():
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if holds(m)]
+    order = list(patterns)
+    return sorted(found, key=lambda s: (s[0], order.index(s[1])))
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(4)
+    parts = ["token", "SECRET", "PassWd", "api_key", "apikey", "ſecret", "toKen", "=", ":", " ", '"', "'", "abc", "a1b2c3d4"]
+    parts += ["AKIA", "ABCD1234", "é", "🙂", "\t", "0123456789abcdef", ".", "-", "password"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert [(a, secret_scan.KINDS[k], b) for a, k, b in secret_scan.base_spans(text)] == spans_by_hand(text)
+
+
+@pytest.fixture(scope="module")
+def ratio(spark):
+    return secret_scan.train(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_models_tell_random_strings_from_words(spark, ratio):
+    rng, table = random.Random(1), secret_scan._symbol_table()
+    for symbols in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits):
+        made = ["".join(rng.choice(symbols) for _ in range(20)) for _ in range(300)]
+        found = secret_scan.find_spans([f"on the {m} of" for m in made], ratio, table)
+        assert sum(s == [(7, 3, 27)] for s in found) >= 295
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    assert sum(k == 3 for s in secret_scan.find_spans(texts, ratio, table) for _, k, _ in s) <= 3
+
+
+def test_batches_do_not_matter(ratio):
+    table = secret_scan._symbol_table()
+    texts = [SECRET, "", "x", "the q7Zp0aLw92XcVb81mKd3 of", "AKIA" + "B" * 20, "\n", "q7Zp0aLw92XcVb81mKd3"]
+    assert secret_scan.find_spans(texts, ratio, table) == [secret_scan.find_spans([t], ratio, table)[0] for t in texts]
+
+
+def test_scan_and_redact(docs, no_docs):
+    rows = secret_scan.scan(docs).select("text", "secrets", "first").collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        base = [(s.start, s.kind, s.end) for s in r.secrets if s.kind != "markov"]
+        assert base == spans_by_hand(r.text or "")
+    cut = {(r.doc_id, r.source): r.text for r in secret_scan.redact(docs).collect()}
+    assert cut[None, "c"] == 'a row without id [secret]"' and cut[4, None] is None and cut[3, None] == ""
+    assert secret_scan.redact(no_docs).count() == 0
+
+
+# --- languages ---------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_documents(spark):
+    got = {r.doc_id: r for r in queries.op4_language(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    assert all(got[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0) for d in docs)
+    held = [d for d in docs if got[d.doc_id].held_out]
+    assert sum(got[d.doc_id].lang_pred == d.lang for d in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_of_awkward_rows(docs, no_docs):
+    got = language.identify(docs, F.lit(True), carry=("text",)).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (r.lang_best, r.score, r.rejected) == ("und", 0.0, True)
+        else:
+            assert r.lang_best in ("en", "fr", "de") and 0 < r.score <= 1
+    # nothing to learn from
+    assert {r.lang_best for r in language.identify(docs, F.lit(False)).collect()} == {"und"}
+    assert language.identify(no_docs, F.lit(True)).count() == 0
+
+
+def test_whole_text_counts():
+    contents = {"a": b"the quick brown fox jumps over the lazy dog " * 20, "b": b"ein flinker brauner fuchs springt weit " * 20}
+    c = language.Compressors(contents)
+    prefix = "the quick brown fox " * 100
+    assert c.predict(prefix)[0] == "a"
+    assert c.predict(prefix + "".join(f"ein flinker brauner fuchs {i} springt weit " for i in range(900)))[0] == "b"
+
+
+# --- quality -----------------------------------------------------------------------------------------
+
+
+def test_quality_of_held_out_documents(spark):
+    got = {r.doc_id: r for r in queries.op9_quality(spark, SF).collect()}
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [i for i in labels if i in got and got[i].held_out]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    good, bad = [i for i in held if labels[i] == 1], [i for i in held if labels[i] == 0]
+    assert sum(got[i].predicted for i in good) >= 0.98 * len(good)
+    assert sum(got[i].predicted for i in bad) <= 0.15 * len(bad)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+
+
+def test_risk_gradient_is_right():
+    """The network's first step follows the gradient of the risk, checked by finite differences."""
+    rng = np.random.default_rng(0)
+    positive, unlabelled = rng.normal(1, 1, (50, quality.WIDTH)), rng.normal(0, 1.5, (80, quality.WIDTH))
+    model = quality.fit(positive, unlabelled, 0.6)
+
+    def risk(m):
+        p, u = m.margin(positive), m.margin(unlabelled)
+        rest = np.logaddexp(0, u).mean() - 0.6 * np.logaddexp(0, p).mean()
+        return 0.6 * np.logaddexp(0, -p).mean() + max(0.0, rest)
+
+    start = quality.Network(model.mean, model.scale, model.w1 * 0, model.b1 * 0, model.w2 * 0, 0.0)
+    assert risk(model) < risk(start) == pytest.approx(math.log(2))
+    assert model.score(positive).mean() > model.score(unlabelled).mean() + 0.1
+
+
+def test_quality_of_awkward_rows(spark, docs, no_docs):
+    labels = spark.createDataFrame(
+        [(1, 1), (2, 1), (5, 0), (6, 1), (6, 0), (None, 1), (8, None)], "doc_id long, quality int"
+    )
+    got = quality.classify(docs, labels, F.lit(True)).select("doc_id", "score", "predicted", "first").collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert quality.classify(no_docs, labels, F.lit(True)).count() == 0
+    # without labels every text has the same score
+    assert len({r.score for r in quality.classify(docs, labels.limit(0), F.lit(True)).collect()}) == 1
