@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from daygrain.llm.common import ship
 from daygrain.llm.pretokenize import LONG, pieces, split_tokens
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 def packed(ids: list[int]) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -52,8 +53,20 @@ def _archive() -> str:
     return path
 
 
+# rows and bytes that go to a Python worker at once, at most
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Have Spark send this package's code to the executors' Python workers (code only, no data)."""
+    """Have Spark send this package's code to the executors' Python workers (code only, no data).
+
+    Also bounds the session's Arrow batches, so that long texts do not fill a worker's memory.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) * 1024 ** "bkmgt".find(unit or "b") <= most:
+            spark.conf.set(key, str(most))
     path = _archive()
     if not any(str(f).endswith("/daygrain_code.zip") for f in spark.sparkContext.listFiles):
         spark.sparkContext.addPyFile(path)
