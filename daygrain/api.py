@@ -15,24 +15,12 @@ from pyspark.sql import functions as F
 
 from daygrain.operators import estimates, variance
 from daygrain.operators.categorize import label_header, unique_mapping
-from daygrain.operators.reshape import columns_matching, unpivot_activities
+from daygrain.operators.reshape import activity_cells, activity_names, columns_matching, unpivot_activities
 from daygrain.sources.readers import ID_COLUMN, weight_column, without_missing
 
-# more labels than this go through the long form instead of one slot each
-MOST_SLOTS = 64
-
-
-def _pairwise(parts: list[Column], combine) -> Column:
-    """Combine many columns in a shallow tree."""
-    while len(parts) > 1:
-        halves = zip(parts[::2], parts[1::2])
-        odd = [parts[-1]] if len(parts) % 2 else []
-        parts = [combine(a, b) for a, b in halves] + odd
-    return parts[0]
-
 
 def _row_minutes(codes: Sequence[str]) -> Column:
-    return _pairwise([F.col(c).cast("double") for c in codes], lambda a, b: a + b)
+    return F.aggregate(activity_cells(codes), F.lit(0.0), lambda total, x: total + x)
 
 
 def _check(df: DataFrame, groups, activities, simplify) -> tuple[str, list[str], list[str]]:
@@ -51,14 +39,18 @@ def _check(df: DataFrame, groups, activities, simplify) -> tuple[str, list[str],
     return weight, groups, codes
 
 
-def _slots(df, weight, groups, by_label: dict[str | None, list[str]]) -> DataFrame:
-    labels = list(by_label)
+def _cells(df, weight, groups, by_label: dict[str | None, list[str]]) -> DataFrame:
+    """Weighted sums per (label, group); every person has a row for every label, zeros included."""
+    minutes = F.array(*[_row_minutes(codes) for codes in by_label.values()])
+    labels = F.array(*[F.lit(label).cast("string") for label in by_label])
     people = df.select(
-        *groups,
-        F.col(weight).alias("weight"),
-        *[_row_minutes(by_label[x]).alias(f"minutes_{i}") for i, x in enumerate(labels)],
+        *groups, F.col(weight).alias("weight"), F.posexplode(minutes).alias("_place", "minutes")
+    ).withColumn("activity", F.get(labels, F.col("_place")))
+    return people.groupBy("activity", *groups).agg(
+        F.sum("weight").alias("total_weight"),
+        F.sum(F.col("weight") * F.col("minutes")).alias("weighted_sum"),
+        F.sum(F.when(F.col("minutes") > 0, F.col("weight")).otherwise(0.0)).alias("participant_weight"),
     )
-    return estimates.cells_from_slots(people, groups, labels)
 
 
 def _by_pairs(pairs, codes) -> dict[str | None, list[str]]:
@@ -80,18 +72,16 @@ def get_min_per_part(df: DataFrame, groups=None, activities=None, simplify=None)
     pairs or a DataFrame of them to the descriptions.
     """
     weight, groups, codes = _check(df, groups, activities, simplify)
-    df = without_missing(df, [weight, *codes])
+    df = without_missing(df, [weight])
     if simplify is True:
-        cells = _slots(df, weight, groups, {estimates.COLLAPSED_LABEL: codes})
+        cells = _cells(df, weight, groups, {estimates.COLLAPSED_LABEL: codes})
         return estimates.metrics_from_cells(cells, groups)
     if simplify is not None and simplify is not False and not isinstance(simplify, DataFrame):
-        by_label = _by_pairs(list(simplify), codes)
-        if len(by_label) <= MOST_SLOTS:
-            return estimates.metrics_from_cells(_slots(df, weight, groups, by_label), groups)
-        simplify = df.sparkSession.createDataFrame(list(simplify), "activity string, description string")
+        cells = _cells(df, weight, groups, _by_pairs(list(simplify), codes))
+        return estimates.metrics_from_cells(cells, groups)
     people = df.select(ID_COLUMN, F.col(weight).alias("weight"), *groups, *codes)
-    fact = unpivot_activities(people, [ID_COLUMN, "weight", *groups], codes)
-    listed = F.array(*[F.lit(c) for c in codes])
+    fact = unpivot_activities(people, [ID_COLUMN, "weight", *groups], codes, complete=True)
+    listed = activity_names(codes)
     if isinstance(simplify, DataFrame):
         mapping = unique_mapping(simplify).filter(F.col("activity").isin(codes))
         by_person = [ID_COLUMN, "weight", *groups]
@@ -133,7 +123,7 @@ def get_SE(df: DataFrame, replicate_weights: DataFrame, groups, activities=None)
     case, so ``df`` may be filtered or in any order.
     """
     weight, groups, codes = _check(df, groups, activities, True)
-    df = without_missing(df, [weight, *codes])
+    df = without_missing(df, [weight])
     people = df.select(
         F.col(ID_COLUMN).alias("case_id"),
         F.col(weight).cast("double").alias("weight"),

@@ -55,21 +55,21 @@ def bin_label(rank: Column, labels: Sequence[str]) -> Column:
 
 
 def race(code: Column) -> Column:
-    # a missing code also lands in the last branch
+    # fixed values; a missing code also lands in the last branch
     return (
         F.when(code == 1, "white").when(code == 2, "black").when(code == 4, "asian").otherwise("other")
     )
 
 
 def education(code: Column) -> Column:
-    # the first match wins: 44 is Masters, and 38 and everything above 45 stay NULL
+    # fixed values; 38 and everything above 45 stay NULL
     return (
         F.when(code < 38, "Did not graduate from HS")
         .when(code == 39, "HS")
         .when(code.isin(40, 41, 42), "Some college")
         .when(code == 43, "Bachelors")
         .when(code == 44, "Masters")
-        .when(code.isin(44, 45), "Doctoral")
+        .when(code == 45, "Doctoral")
     )
 
 

@@ -85,6 +85,37 @@ def _shortened(text: Column, deletions: int) -> Column:
     return out
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edits between two texts, where swapping two neighbours is one edit and no place is edited twice.
+
+    Row by row over the usual table; each row is built from the two before it.
+    """
+    first, second = F.split(a, ""), F.split(b, "")
+    n, m = F.length(a), F.length(b)
+
+    def cell(i, j, row, above, two_above):
+        x, y = F.get(first, i - 1), F.get(second, j - 1)
+        swapped = (i > 1) & (j > 1) & (x == F.get(second, j - 2)) & (F.get(first, i - 2) == y)
+        return F.least(
+            F.get(row, j - 1) + 1,
+            F.get(above, j) + 1,
+            F.get(above, j - 1) + F.when(x == y, 0).otherwise(1),
+            F.when(swapped, F.get(two_above, j - 2) + 1),
+        )
+
+    def next_row(state, i):
+        def extended(row, j):
+            return F.concat(row, F.array(cell(i, j, row, state["above"], state["two_above"])))
+
+        row = F.aggregate(F.sequence(F.lit(1), m), F.array(i), extended)
+        return F.struct(row.alias("above"), state["above"].alias("two_above"))
+
+    top = F.sequence(F.lit(0), m)
+    start = F.struct(top.alias("above"), top.alias("two_above"))
+    table = F.aggregate(F.sequence(F.lit(1), n), start, next_row, lambda state: F.get(state["above"], m))
+    return F.when((n == 0) | (m == 0), F.greatest(n, m)).otherwise(table)
+
+
 def stringdist_left_join(
     left: DataFrame,
     right: DataFrame,
@@ -95,7 +126,8 @@ def stringdist_left_join(
 ) -> DataFrame:
     """Left join on case-sensitive edit distance; every match within the distance is kept.
 
-    Two texts within d edits share a text that both reach by at most d deletions, so the
+    Two texts within d edits share a text that both reach by at most d deletions (a swap of two
+    neighbours takes one in each), so the
     candidates come from an equi-join on those shortened texts and no pair outside it can
     match. The match runs on distinct names; rows meet their names afterwards.
     ``best_only`` keeps the closest names of each row.
@@ -106,9 +138,10 @@ def stringdist_left_join(
     b = others.select("_other", F.explode(_shortened(F.col("_other"), max_distance)).alias("_short"))
     pairs = (
         a.join(b, "_short")
-        .select("_name", "_other", F.levenshtein("_name", "_other").alias("distance"))
-        .filter(F.col("distance") <= max_distance)
+        .select("_name", "_other")
         .distinct()
+        .withColumn("distance", edit_distance(F.col("_name"), F.col("_other")))
+        .filter(F.col("distance") <= max_distance)
     )
     if best_only:
         nearest = F.min("distance").over(Window.partitionBy("_name"))

@@ -25,7 +25,8 @@ WEEKEND = (1, 7)
 PERIOD = 30  # minutes
 SLOT = 5
 SLOTS_PER_PERIOD = PERIOD // SLOT
-LABEL_SPACE = 1 << 16
+# room for label positions in a packed integer; a longer label list is an error
+LABEL_SPACE = 1 << 20
 
 
 def select_days(days: DataFrame, which: Sequence[int], holidays: bool = False) -> DataFrame:
@@ -68,12 +69,19 @@ def _label_list(spells: DataFrame, labels: Sequence[str] | Column | None) -> Col
         return described(spells, "description")
     if isinstance(labels, Column):
         return labels
+    if len(labels) >= LABEL_SPACE:
+        raise ValueError(f"the label list must be shorter than {LABEL_SPACE}")
     return F.array(*[F.lit(x) for x in labels])
 
 
 def described(df: DataFrame, column: str) -> Column:
-    """All values of a category column as a sorted array subquery."""
-    return df.agg(F.array_sort(F.collect_set(column))).scalar()
+    """All values of a category column as a sorted array subquery.
+
+    Values are combined on the map side, and more of them than positions can number are an error.
+    """
+    listed = F.array_sort(F.collect_set(column))
+    too_many = F.raise_error(F.lit(f"{column} has {LABEL_SPACE} or more different values")).cast("array<string>")
+    return df.agg(F.when(F.size(listed) < LABEL_SPACE, listed).otherwise(too_many)).scalar()
 
 
 def _only(df: DataFrame, cases: DataFrame | None) -> DataFrame:
@@ -238,6 +246,9 @@ def one_minute_sequence(
     )
     # more minutes first, then the earlier start; minutes without description do not count
     packed = (F.col("n") * clock.DAY + (clock.DAY - 1 - F.col("first"))) * LABEL_SPACE + F.col("id")
+    if whole_days:
+        # the periods and the last minute of a case come from the same place
+        per_label = per_label.repartition("case_id")
     periods = per_label.groupBy("case_id", "k").agg(
         F.max(F.when(F.col("id") > 0, packed)).alias("packed"), F.max("last").alias("last")
     )
@@ -251,9 +262,3 @@ def one_minute_sequence(
         F.element_at(listed, (F.col("packed") % LABEL_SPACE).cast("int")).alias("description"),
     )
     return _only(sequence, cases)
-
-
-def sequence_arrays(sequence: DataFrame) -> DataFrame:
-    """One array of at most 48 descriptions per case, in period order."""
-    ordered = F.array_sort(F.collect_list(F.struct("period", "description")))
-    return sequence.groupBy("case_id").agg(ordered["description"].alias("sequence"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.functions.numeric import ratio, ratio_or_zero
-from daygrain.operators.categorize import Labelling, keep_codes, unique_mapping
+from daygrain.operators.categorize import Labelling, distinct_codes, keep_codes, unique_mapping
 
 # fixed value: label of the single row left by ``simplify=True`` (spelling included)
 COLLAPSED_LABEL = "All activites provided"
@@ -139,8 +139,10 @@ def _people(respondents, fact, labelling, work_day) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _codes_array(minutes: DataFrame, activities) -> Column:
-    """All activities that need a row, as one small array."""
+def _codes_array(minutes: DataFrame, activities, codes: DataFrame | None) -> Column:
+    """All activities that need a row, as one small array: six-digit codes or a mapping's descriptions."""
+    if codes is not None:
+        return distinct_codes(codes).agg(F.collect_set("activity")).scalar()
     if isinstance(activities, (list, tuple)):
         return F.array(*[F.lit(a) for a in dict.fromkeys(activities)])
     # structs keep a NULL label, which a bare collect_set would lose
@@ -176,17 +178,17 @@ def cells_from_rows(
     )
 
 
-def _by_code(respondents, minutes, groups, activities, unique_minutes) -> DataFrame:
+def _by_code(respondents, minutes, groups, activities, unique_minutes, codes=None) -> DataFrame:
     per_case = minutes
     if not unique_minutes:
         per_case = minutes.groupBy("case_id", "activity").agg(F.sum("minutes").alias("minutes"))
     rows = respondents.select("case_id", "weight", *groups).join(per_case, "case_id")
     totals = respondents.groupBy(*groups).agg(F.sum("weight").alias("total_weight"))
-    if not groups and not isinstance(activities, (list, tuple)):
+    if not groups and codes is None and not isinstance(activities, (list, tuple)):
         # every code that occurs has its one cell already
         cells = _sums(rows, groups).withColumn("total_weight", totals.scalar())
     else:
-        cells = cells_from_rows(rows, totals, groups, _codes_array(minutes, activities))
+        cells = cells_from_rows(rows, totals, groups, _codes_array(minutes, activities, codes))
     return metrics_from_cells(cells, groups)
 
 
@@ -203,6 +205,8 @@ def per_participant(
     simplify: bool | Labelling | DataFrame | None = None,
     work_day: tuple[str, float] | None = None,
     unique_minutes: bool = False,
+    codes: DataFrame | None = None,
+    additive: bool = False,
 ) -> DataFrame:
     """All three metrics per activity and group in one pass over the fact.
 
@@ -211,6 +215,9 @@ def per_participant(
     DataFrame ``(activity, description)`` to its descriptions. ``work_day=(code, minutes)`` adds a
     boolean column ``work_day`` to group by, read in the same pass.
     ``unique_minutes=True`` promises one row per (case, activity) and saves a shuffle.
+    ``codes`` (column ``activity``) lists the codes that get a row, as a wide file's header does; by default
+    these are the codes that occur in ``minutes``. ``additive=True`` is for callers that read the weighted
+    minutes only: these are sums over the rows of a case, which then need not be brought together first.
     """
     groups = group_list(groups)
     if work_day is not None and activities is not None:
@@ -226,13 +233,13 @@ def per_participant(
     if isinstance(simplify, DataFrame):
         named = wanted.join(F.broadcast(unique_mapping(simplify)), "activity", "left")
         wanted = named.select("case_id", F.col("description").alias("activity"), "minutes")
-        return _by_code(respondents, wanted, groups, None, False)
-    return _by_code(respondents, wanted, groups, activities, unique_minutes)
+        return _by_code(respondents, wanted, groups, None, additive)
+    return _by_code(respondents, wanted, groups, activities, unique_minutes or additive, codes)
 
 
 def weighted_minutes(respondents, minutes, groups=None, activities=None, simplify=None, **options) -> DataFrame:
     """Weighted mean minutes per activity and group."""
-    out = per_participant(respondents, minutes, groups, activities, simplify, **options)
+    out = per_participant(respondents, minutes, groups, activities, simplify, additive=True, **options)
     return out.select("activity", *group_list(groups), "weighted_minutes")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ACTIVITY_COLUMN = "^t[0-9]"
+NAME_SEPARATOR = "\x1f"  # in no column name
 
 
 def columns_matching(df: DataFrame, pattern: str = ACTIVITY_COLUMN) -> list[str]:
@@ -16,20 +17,38 @@ def columns_matching(df: DataFrame, pattern: str = ACTIVITY_COLUMN) -> list[str]
     return [c for c in df.columns if re.search(pattern, c)]
 
 
-def unpivot_activities(df: DataFrame, ids: Sequence[str], activities: Sequence[str]) -> DataFrame:
+def activity_names(activities: Sequence[str]) -> Column:
+    """The column names as one constant array; written as one text, as a file can have hundreds of them."""
+    return F.split(F.lit(NAME_SEPARATOR.join(activities)), NAME_SEPARATOR)
+
+
+def activity_cells(activities: Sequence[str], complete: bool = True) -> Column:
+    """The minutes of a row as one array; a missing value is an error if they must be ``complete``."""
+    cells = F.array(*activities).cast("array<double>")
+    if not complete:
+        return cells
+    names = activity_names(activities)
+
+    def checked(x: Column, i: Column) -> Column:
+        missing = F.raise_error(F.concat(F.lit("missing value in "), F.get(names, i)))
+        return F.when(x.isNotNull(), x).otherwise(missing.cast("double"))
+
+    return F.transform(cells, checked)
+
+
+def unpivot_activities(
+    df: DataFrame, ids: Sequence[str], activities: Sequence[str], complete: bool = False
+) -> DataFrame:
     """One row per (row, activity) with time spent; zero cells are left out.
 
-    The zeros stay inside the row as array elements and are dropped before they become
-    rows, so the long form is as sparse as the diaries are.
+    The cells of a row become an array of numbers, whose zeros are dropped where they are exploded, in
+    the same generated code; the name of a cell is looked up by its place.
     """
-    entries = F.array(
-        *[
-            F.struct(F.lit(a).alias("activity"), F.col(a).cast("double").alias("minutes"))
-            for a in activities
-        ]
+    return (
+        df.select(*ids, F.posexplode(activity_cells(activities, complete)).alias("_place", "minutes"))
+        .filter("minutes > 0")
+        .select(*ids, F.get(activity_names(activities), F.col("_place")).alias("activity"), "minutes")
     )
-    used = F.filter(entries, lambda e: e["minutes"] > 0)
-    return df.select(*ids, F.inline(used))
 
 
 def metrics_long(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:

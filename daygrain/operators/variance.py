@@ -19,18 +19,12 @@ def person_minutes(minutes: DataFrame, activities=None) -> DataFrame:
     return _restrict(minutes, activities).groupBy("case_id").agg(F.sum("minutes").alias("minutes"))
 
 
-def replicate_se(
-    people: DataFrame,
-    replicate_weights: DataFrame,
-    groups: Sequence[str],
-    formula: tuple[int, str] | None = None,
-) -> DataFrame:
+def replicate_se(people: DataFrame, replicate_weights: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Standard error of the weighted mean of ``minutes`` per group.
 
     ``people`` holds ``case_id, weight, minutes`` and the groups, ``replicate_weights``
-    ``case_id, weights`` with the replicates as an array. Where the design computes them, a
-    ``formula`` (number of replicates, SQL over the columns and ``replicate``) takes the
-    place of the array and nothing but its inputs is shuffled.
+    ``case_id, weights`` with the replicates as an array. A respondent without replicate
+    weights is an error, as the base estimate would change without them.
 
     Replicates meet their respondent by case id, and the base weight travels as replicate 0,
     so one aggregation serves all of them: map-side combining leaves groups x replicates
@@ -38,15 +32,11 @@ def replicate_se(
     """
     groups = list(groups)
     # one array per respondent is far too much to broadcast, whatever its file size suggests
-    joined = people.join(replicate_weights.hint("merge"), "case_id")
-    if formula is None:
-        weights = F.posexplode(F.concat(F.array(F.col("weight")), F.col("weights")))
-        exploded = joined.select(*groups, "minutes", weights.alias("replicate", "w"))
-    else:
-        count, weight = formula
-        numbered = joined.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(count))))
-        w = F.when(F.col("replicate") == 0, F.col("weight")).otherwise(F.expr(weight))
-        exploded = numbered.select(*groups, "minutes", "replicate", w.alias("w"))
+    joined = people.join(replicate_weights.hint("merge"), "case_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no replicate weights for case "), F.col("case_id").cast("string")))
+    weights = F.when(F.col("weights").isNull(), missing.cast("array<double>")).otherwise(F.col("weights"))
+    numbered = F.posexplode(F.concat(F.array(F.col("weight")), weights))
+    exploded = joined.select(*groups, "minutes", numbered.alias("replicate", "w"))
     theta = (
         exploded.groupBy(*groups, "replicate")
         .agg(F.sum(F.col("w") * F.col("minutes")).alias("wm"), F.sum("w").alias("w"))
@@ -78,7 +68,6 @@ def standard_errors(
     replicate_weights: DataFrame,
     groups: Sequence[str],
     activities=None,
-    formula: tuple[int, str] | None = None,
 ) -> DataFrame:
     """Weighted minutes over the chosen activities with their standard error."""
     totals = person_minutes(minutes, activities)
@@ -87,7 +76,7 @@ def standard_errors(
         .join(totals, "case_id", "left")
         .withColumn("minutes", F.coalesce(F.col("minutes"), F.lit(0.0)))
     )
-    return replicate_se(people, replicate_weights, groups, formula)
+    return replicate_se(people, replicate_weights, groups)
 
 
 def with_band(df: DataFrame, factor: float = 2.0) -> DataFrame:

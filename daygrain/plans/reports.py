@@ -143,7 +143,6 @@ def tv_standard_errors(s: Survey) -> DataFrame:
         s.replicate_weights,
         ["age", "sex"],
         lookups.TV_CODES,
-        s.replicate_formula,
     )
     return variance.with_band(est).withColumn("sex", labels.sex_label(F.col("sex")))
 
@@ -204,13 +203,13 @@ def job_search_by_year(s: Survey) -> DataFrame:
 
 def garden_by_year(s: Survey) -> DataFrame:
     """Garden, lawn and houseplants among people aged 20 to 40."""
-    codes = categorize.codes_named(s.activity_names, "gard")
+    codes = categorize.codes_named(s.names(), "gard")
     people = s.respondents.filter((F.col("age") >= 20) & (F.col("age") <= 40))
     return _long(_by_year(s, codes, people), ["activity", "year"])
 
 
 def security_by_year(s: Survey, outlier: int = SECURITY_OUTLIER_YEAR) -> DataFrame:
-    codes = categorize.codes_named(s.activity_names, "secu", exclude=["Home security"])
+    codes = categorize.codes_named(s.names(), "secu", exclude=["Home security"])
     return _by_year(s, codes).filter(F.col("year") != outlier)
 
 
@@ -229,9 +228,9 @@ def grocery_by_sex_age(s: Survey) -> DataFrame:
 
 
 def leisure_standard_errors(s: Survey) -> DataFrame:
-    codes = categorize.codes_named(s.activity_names, "leisure")
+    codes = categorize.codes_named(s.names(), "leisure")
     est = variance.standard_errors(
-        s.respondents, s.minutes, s.replicate_weights, ["year"], codes, s.replicate_formula
+        s.respondents, s.minutes, s.replicate_weights, ["year"], codes
     )
     return variance.with_band(est)
 
@@ -312,7 +311,7 @@ def _with_income(s: Survey) -> DataFrame:
 
 
 def _named(est: DataFrame, s: Survey) -> DataFrame:
-    names = s.activity_names.select(
+    names = s.names().select(
         F.concat(F.lit("t"), F.col("code")).alias("activity"), "description"
     )
     return est.join(F.broadcast(names), "activity", "left")
@@ -343,18 +342,22 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 def sports_share_by_income(s: Survey) -> DataFrame:
     minutes = s.minutes.filter(F.col("activity").between(*lookups.SPORTS_CODE_RANGE))
-    est = participation(_with_bracket(s), minutes, ["hh_income"], unique_minutes=s.unique_minutes)
+    codes = None if s.codes is None else s.codes.filter(F.col("activity").between(*lookups.SPORTS_CODE_RANGE))
+    est = participation(_with_bracket(s), minutes, ["hh_income"], unique_minutes=s.unique_minutes, codes=codes)
     return _ordered(_shares(est, "participation_rate", s, drop_nec=True))
 
 
-def _waiting_minutes(s: Survey) -> DataFrame:
-    return categorize.keep_codes(s.minutes, categorize.codes_named(s.activity_names, "wait"))
+def _waiting(s: Survey) -> dict[str, DataFrame | None]:
+    """Minutes of the waiting activities, and their codes if the survey lists its codes."""
+    named = categorize.codes_named(s.names(), "wait")
+    return {
+        "minutes": categorize.keep_codes(s.minutes, named),
+        "codes": None if s.codes is None else categorize.keep_codes(s.codes, named),
+    }
 
 
 def waiting_share_by_income(s: Survey) -> DataFrame:
-    est = weighted_minutes(
-        _with_bracket(s), _waiting_minutes(s), ["hh_income"], unique_minutes=s.unique_minutes
-    )
+    est = weighted_minutes(_with_bracket(s), groups=["hh_income"], **_waiting(s))
     out = _shares(est, "weighted_minutes", s, drop_nec=True)
     short = F.concat(F.lit("... "), labels.without_waiting_prefix(F.col("description")))
     return _ordered(out.withColumn("description", short))
@@ -362,7 +365,7 @@ def waiting_share_by_income(s: Survey) -> DataFrame:
 
 def waiting_share_participants(s: Survey) -> DataFrame:
     est = per_participant(
-        _with_bracket(s), _waiting_minutes(s), ["hh_income"], unique_minutes=s.unique_minutes
+        _with_bracket(s), groups=["hh_income"], unique_minutes=s.unique_minutes, **_waiting(s)
     )
     out = _shares(est, "minutes_per_participant", s, drop_nec=False)
     short = labels.sentence_case(labels.without_waiting_prefix(F.col("description")))
@@ -399,7 +402,7 @@ def income_age_spline(s: Survey) -> DataFrame:
 
 def leisure_by_state(s: Survey) -> DataFrame:
     """Leisure minutes per named state; numbers without a name are left out."""
-    codes = categorize.codes_named(s.activity_names, "leisure")
+    codes = categorize.codes_named(s.names(), "leisure")
     people = s.respondents.join(s.case_states, "case_id", "left")
     est = weighted_minutes(people, s.minutes, ["state_id"], activities=codes, simplify=True)
     names = s.state_names.select("state_id", "name")
@@ -453,11 +456,11 @@ def computer_use_loess(s: Survey) -> DataFrame:
 
 
 def code_catalogue(s: Survey) -> DataFrame:
-    est = per_participant(s.respondents, s.minutes, unique_minutes=s.unique_minutes)
+    est = per_participant(s.respondents, s.minutes, unique_minutes=s.unique_minutes, codes=s.codes)
     return categorize.code_catalogue(
         est,
         lookups.category_patterns(s.minutes.sparkSession, lookups.CATEGORIES_V2),
-        s.activity_names,
+        s.names(),
         lookups.tier1_names(s.minutes.sparkSession),
     )
 
@@ -465,7 +468,8 @@ def code_catalogue(s: Survey) -> DataFrame:
 def weekend_minutes_long(s: Survey) -> DataFrame:
     """Minutes per category of every weekend, non-holiday respondent, zeros included.
 
-    A person has a row for every category, as in the wide file.
+    A person has a row for every category, as in the wide file. Time under unknown codes is a
+    category without a name, which everyone has if anyone spent time on it.
     """
     labelling = categorize.CURATED_V2
     people = diary.select_days(s.respondents, diary.WEEKEND).select("case_id")
@@ -475,10 +479,10 @@ def weekend_minutes_long(s: Survey) -> DataFrame:
         F.struct(F.lit(x).alias("description"), F.coalesce(F.col(f"minutes_{i}"), F.lit(0.0)).alias("minutes"))
         for i, x in known
     ]
-    unmapped = F.col(f"minutes_{len(known)}")
+    unmapped = F.coalesce(F.col(f"minutes_{len(known)}"), F.lit(0.0))
     rest = F.struct(F.lit(None).cast("string").alias("description"), unmapped.alias("minutes"))
-    # time under an unknown code keeps its row, next to the closed list of categories
-    rows = F.when(unmapped.isNotNull(), F.array(*entries, rest)).otherwise(F.array(*entries))
+    used = slots.agg(F.max(f"minutes_{len(known)}")).scalar()
+    rows = F.when(used > 0, F.array(*entries, rest)).otherwise(F.array(*entries))
     return people.join(slots, "case_id", "left").select("case_id", F.inline(rows))
 
 
@@ -533,5 +537,4 @@ def demographics_full(s: Survey) -> DataFrame:
 
 
 def demographics_profile(s: Survey) -> DataFrame:
-    table = demographics_weekend(s)
-    return profile.column_profile(table, [c for c in table.columns if c not in ("case_id", "survey_weight")])
+    return profile.column_profile(demographics_weekend(s))

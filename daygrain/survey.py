@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 from daygrain import lookups
 from daygrain.operators.breakdowns import one_per_case
-from daygrain.operators.categorize import CURATED_V2, Labelling
+from daygrain.operators.categorize import CURATED_V2, Labelling, unique_mapping
 from daygrain.operators.reshape import columns_matching, unpivot_activities
 from daygrain.sources.readers import weight_column, without_missing
 
 
+RESPONDENT_COLUMNS = {
+    "TESEX": "sex",
+    "TEAGE": "age",
+    "TUYEAR": "year",
+    "TRYHHCHILD": "age_youngest",
+    "TRCHILDNUM": "n_child",
+    "TUDIARYDAY": "diary_day",
+    "TRHOLIDAY": "holiday",
+}
+
+
 @dataclass
 class Survey:
     """Canonical frames; any of them may stay ``None`` if no report needs it.
@@ -22,12 +33,13 @@ class Survey:
     minutes            case_id, activity, minutes (positive only)
     roster             case_id, line, marital, race_code, educ_code, state_fips,
                        income_code, income_code_alt
-    replicate_weights  case_id, weights (array), or the columns of ``replicate_formula``
+    replicate_weights  case_id, weights (array)
     spells             case_id, ordinal, start_clock, stop_clock, description
     diary_days         case_id, diary_day, holiday and further respondent columns
     case_states        case_id, state_id
     state_names        state_id, name, region
-    activity_names     code, description
+    activity_names     code, description: the survey's complete code list
+    codes              activity: all codes of the survey, also those nobody spent time on
     """
 
     respondents: DataFrame | None = None
@@ -39,16 +51,23 @@ class Survey:
     case_states: DataFrame | None = None
     state_names: DataFrame | None = None
     activity_names: DataFrame | None = None
+    codes: DataFrame | None = None
     work_day_minutes: float = 120
     diary_labels: tuple[str, ...] | Column | None = None
     diary_columns: tuple[str, ...] = ()
     unique_minutes: bool = False
-    replicate_formula: tuple[int, str] | None = None
 
     @property
     def work_day(self) -> tuple[str, float]:
         return ("t05", self.work_day_minutes)
 
+    def names(self) -> DataFrame:
+        """The complete code list, one row per six-digit code."""
+        if self.activity_names is None:
+            raise ValueError("this report needs the survey's code list: pass activity_names")
+        listed = self.activity_names.select(F.concat(F.lit("t"), F.col("code")).alias("activity"), "description")
+        return unique_mapping(listed).select(F.substring("activity", 2, 6).alias("code"), "description")
+
     def incomes(self) -> DataFrame:
         """One income code per case."""
         return one_per_case(self.roster, ["income_code"])
@@ -67,27 +86,22 @@ class Survey:
         """Build the canonical frames from the survey's published files."""
         spark = summary.sparkSession
         weight = weight_column(summary)
-        summary = without_missing(summary, [weight, *columns_matching(summary)])
+        summary = without_missing(summary, [weight])
         out = cls(unique_minutes=True)
+        # a report that needs a column which is not there fails by its name
         out.respondents = summary.select(
             F.col("TUCASEID").alias("case_id"),
             F.col(weight).alias("weight"),
-            F.col("TESEX").alias("sex"),
-            F.col("TEAGE").alias("age"),
-            F.col("TUYEAR").alias("year"),
-            F.col("TRYHHCHILD").alias("age_youngest"),
-            F.col("TRCHILDNUM").alias("n_child"),
-            F.col("TUDIARYDAY").alias("diary_day"),
-            F.col("TRHOLIDAY").alias("holiday"),
+            *[F.col(c).alias(name) for c, name in RESPONDENT_COLUMNS.items() if c in summary.columns],
         )
+        out.codes = spark.createDataFrame([(c,) for c in columns_matching(summary)], "activity string")
         out.minutes = unpivot_activities(
-            summary.withColumnRenamed("TUCASEID", "case_id"), ["case_id"], columns_matching(summary)
-        )
-        out.activity_names = (
-            activity_names.select(F.col("Code").alias("code"), F.col("Description").alias("description"))
-            if activity_names is not None
-            else lookups.activity_names(spark)
+            summary.withColumnRenamed("TUCASEID", "case_id"), ["case_id"], columns_matching(summary), complete=True
         )
+        if activity_names is not None:
+            out.activity_names = activity_names.select(
+                F.col("Code").alias("code"), F.col("Description").alias("description")
+            )
         if household is not None:
             out.roster = household.select(
                 F.col("TUCASEID").alias("case_id"),

@@ -13,6 +13,7 @@ from daygrain import lookups
 from daygrain.operators.estimates import COLLAPSED_LABEL
 from daygrain.plans import reports
 from daygrain.testbed.queries import WIDE_CODES
+from daygrain.testbed import tables
 from daygrain.testbed.tables import OUTLIER_YEAR, WORK_DAY_MINUTES
 
 
@@ -65,7 +66,7 @@ INCOME = "income AS (SELECT DISTINCT case_id, income_code FROM roster)"
 FLOORS = _values("floors", "income_code, hh_income", lookups.INCOME_FLOORS)
 PATTERNS_V1 = _values("patterns", "pattern, description", lookups.CATEGORIES_V1)
 PATTERNS_V2 = _values("patterns", "pattern, description", lookups.CATEGORIES_V2)
-NAMES = _values("code_names", "code, description", lookups.ACTIVITY_NAMES)
+NAMES = _values("code_names", "code, description", tables.CODE_NAMES)
 
 MAPPING = """mapping AS (
   SELECT code, pattern, description
@@ -333,7 +334,7 @@ RESPONDENT_LINE = """line_one AS (
               ELSE 'other' END AS race,
          CASE WHEN educ_code < 38 THEN 'Did not graduate from HS' WHEN educ_code = 39 THEN 'HS'
               WHEN educ_code IN (40, 41, 42) THEN 'Some college' WHEN educ_code = 43 THEN 'Bachelors'
-              WHEN educ_code = 44 THEN 'Masters' WHEN educ_code IN (44, 45) THEN 'Doctoral' END AS education,
+              WHEN educ_code = 44 THEN 'Masters' WHEN educ_code = 45 THEN 'Doctoral' END AS education,
          states.name AS state
   FROM roster LEFT JOIN states ON state_fips = fips WHERE line = 1)"""
 
@@ -353,7 +354,7 @@ DEMOGRAPHICS = """demo AS (
 DEMO_CTES = [RESPONDENT, ROSTER, FLOORS, STATES, RESPONDENT_LINE, FAMILY_INCOME]
 WEEKEND_POPULATION = "population AS (SELECT case_id FROM respondent WHERE diary_day IN (1, 7) AND holiday = 0)"
 PROFILED = (
-    "age", "sex", "age_youngest", "n_child", "hh_income", "married", "race", "education", "state", "child_under_12",
+    "case_id", "survey_weight", "age", "sex", "age_youngest", "n_child", "hh_income", "married", "race", "education", "state", "child_under_12",
 )
 
 
@@ -523,10 +524,16 @@ FROM (SELECT age, CASE sex WHEN 1 THEN 'Male' ELSE 'Female' END AS sex, weighted
              CAST(floor(weighted_minutes - 60 * floor(weighted_minutes / 60) + 0.5) AS INT) AS m FROM est)"""
 
 WIDE_LABELS = [
-    f"named AS (SELECT case_id, code AS label, spent FROM fact WHERE code IN {_in(WIDE_CODES)})",
+    "named AS (SELECT case_id, code AS label, spent FROM fact)",
     f"labels AS (SELECT unnest([{', '.join(_text(c) for c in WIDE_CODES)}]) AS label)",
 ]
 
+WIDE_CATEGORY = [
+    *BY_CATEGORY[:3],
+    f"codes AS (SELECT unnest([{', '.join(_text(c) for c in WIDE_CODES)}]) AS code)",
+    "labels AS (SELECT DISTINCT description AS label FROM codes LEFT JOIN patterns ON regexp_matches(code, pattern))",
+]
+
 HOURS = """SELECT activity, {sex}, round(weighted_minutes / 60, 2) AS weighted_hours,
   round(participation_rate, 4) AS participation_rate, round(minutes_per_participant / 60, 2) AS hours_per_participant
 FROM est"""
@@ -583,9 +590,14 @@ ORACLE: dict[str, str] = {
     "wide_unpivot": _select(
         [FACT],
         "SELECT case_id, code AS activity, round(spent, 6) AS minutes FROM fact"
-        f" WHERE code IN {_in(WIDE_CODES)} AND spent > 0 AND case_id IN (SELECT o_orderkey FROM orders)",
+        " WHERE spent > 0 AND case_id IN (SELECT o_orderkey FROM orders)",
     ),
     "wide_estimates": _estimate_query(["sex", "year"], WIDE_LABELS, f"SELECT activity, sex, year, {METRICS} FROM est"),
+    "wide_minutes": _estimate_query(["sex"], WIDE_CATEGORY, f"SELECT activity, sex, {_r('weighted_minutes')} FROM est"),
+    "wide_participation": _estimate_query(
+        ["year"], WIDE_CATEGORY, f"SELECT activity, year, {_r('participation_rate')} FROM est"
+    ),
+    "wide_standard_errors": _replicates(["sex"], "code LIKE 't12%'", (), "sex"),
     "tv_by_age_sex": _select(TV_EST, f"SELECT activity, age, {SEX}, {_r('weighted_minutes')} FROM est"),
     "trend_cubic": _select(
         [*TV_EST, *_regression("est", ["sex"], "age", "weighted_minutes", knot=False)],
@@ -667,8 +679,8 @@ FROM by_state JOIN nation ON state_id = n_nationkey JOIN region ON n_regionkey =
     "state_fuzzy_match": _select(
         [*STATE_EST, "map_names AS (SELECT replace(n_name, 'NATION', 'NATIO') AS region_name FROM nation)"],
         f"""SELECT name, state_id, {_r('total_leisure')}, region_name,
-  CAST(levenshtein(name, region_name) AS INT) AS distance
-FROM by_state LEFT JOIN map_names ON levenshtein(name, region_name) <= 2""",
+  CAST(damerau_levenshtein(name, region_name) AS INT) AS distance
+FROM by_state LEFT JOIN map_names ON damerau_levenshtein(name, region_name) <= 2""",
     ),
     "computer_use_by_age_year": _select(
         COMPUTER_EST, "SELECT age, year, round(weighted_minutes, 6) AS total_minutes FROM est"

@@ -10,15 +10,15 @@ from pyspark.sql.types import DoubleType
 
 from daygrain import api, lookups
 from daygrain.functions import labels
-from daygrain.operators import categorize, diary, reshape
+from daygrain.operators import categorize, diary, reshape, variance
 from daygrain.operators.estimates import participation, per_participant, weighted_minutes
 from daygrain.plans import reports
 from daygrain.testbed import tables
 
 PLACES = 6
 
-# twenty codes of the wide form, one per pair of tier 1 and tier 2 code
-WIDE_CODES = tuple(f"t{tier1:02d}{tier2:02d}01" for tier1 in range(1, 11) for tier2 in (1, 2))
+# the wide form has a column for every code, as the summary file does
+WIDE_CODES = tuple(f"t{code}" for code in tables.CODES)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,12 +86,16 @@ def _per_participant_by_sex(s):
 
 def _wide_form(s):
     """One row per respondent with a column per code, as the summary file has it."""
-    wanted = s.minutes.filter(F.col("activity").isin(*WIDE_CODES))
-    slots = wanted.groupBy("case_id").agg(
-        *[F.sum(F.when(F.col("activity") == c, F.col("minutes"))).alias(c) for c in WIDE_CODES]
+    per_code = s.minutes.groupBy("case_id", "activity").agg(F.sum("minutes").alias("minutes"))
+    spent = per_code.groupBy("case_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("activity", "minutes"))).alias("spent")
+    )
+    people = s.respondents.select("case_id", "weight", "sex", "year").join(spent, "case_id", "left")
+    codes = reshape.activity_names(WIDE_CODES)
+    minutes = F.transform(codes, lambda c: F.coalesce(F.try_element_at("spent", c), F.lit(0.0)))
+    return people.select("*", minutes.alias("minutes")).select(
+        "case_id", "weight", "sex", "year", *[F.get("minutes", F.lit(i)).alias(c) for i, c in enumerate(WIDE_CODES)]
     )
-    people = s.respondents.select("case_id", "weight", "sex", "year")
-    return people.join(slots, "case_id", "left").na.fill(0.0, list(WIDE_CODES))
 
 
 def _wide_unpivot(s):
@@ -99,9 +103,31 @@ def _wide_unpivot(s):
     return reshape.unpivot_activities(wide, ["case_id"], reshape.columns_matching(wide))
 
 
+def _wide_file(s):
+    return _wide_form(s).withColumnsRenamed({"case_id": "TUCASEID", "weight": "TUFNWGTP"})
+
+
 def _wide_estimates(s):
-    wide = _wide_form(s).withColumnsRenamed({"case_id": "TUCASEID", "weight": "TUFNWGTP"})
-    return api.get_min_per_part(wide, ["sex", "year"])
+    return api.get_min_per_part(_wide_file(s), ["sex", "year"])
+
+
+def _wide_minutes(s):
+    wide = _wide_file(s)
+    return api.get_minutes(wide, ["sex"], simplify=api.descriptions(wide))
+
+
+def _wide_participation(s):
+    wide = _wide_file(s)
+    return api.get_participation(wide, ["year"], simplify=api.descriptions(wide))
+
+
+def _wide_standard_errors(s):
+    numbers = range(tables.REPLICATES)
+    weights = s.replicate_weights.select(
+        F.col("case_id").alias("TUCASEID"), *[F.col("weights")[i].alias(f"TUFNWGTP{i + 1:03d}") for i in numbers]
+    )
+    est = api.get_SE(_wide_file(s), weights, ["sex"], [c for c in WIDE_CODES if c.startswith("t12")])
+    return variance.with_band(est)
 
 
 def _diary_minutes(s):
@@ -133,6 +159,9 @@ QUERIES: dict[str, Query] = {
     "category_by_sex": _report(reports.category_by_sex, *PEOPLE),
     "wide_unpivot": _report(_wide_unpivot, *PEOPLE),
     "wide_estimates": _report(_wide_estimates, *PEOPLE),
+    "wide_minutes": _report(_wide_minutes, *PEOPLE),
+    "wide_participation": _report(_wide_participation, *PEOPLE),
+    "wide_standard_errors": _report(_wide_standard_errors, *REPLICATES),
     "tv_by_age_sex": _report(reports.tv_by_age_sex, *PEOPLE),
     "trend_cubic": _report(reports.tv_cubic, *PEOPLE),
     "trend_loess": _report(reports.tv_by_age_wide, *PEOPLE),

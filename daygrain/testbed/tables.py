@@ -23,6 +23,33 @@ SCHEMAS = {
     "region": "r_regionkey int, r_name string",
 }
 
+# every code that the minutes can hold
+CODES = tuple(
+    f"{tier1:02d}{tier2:02d}{line:02d}" for tier1 in (*range(1, 16), 18) for tier2 in range(1, 10) for line in range(1, 8)
+)
+
+
+def _code_name(code: str) -> str:
+    """A name for each code with the words that the reports look for, by its second pair of digits."""
+    if code == "020905":
+        return "Home security"
+    summary = dict(lookups.TIER1_NAMES)[code[:2]]
+    forms = (
+        "Waiting associated with {}",
+        "Waiting for/{}",
+        "{} and leisure",
+        "Security procedures related to {}",
+        "{}, lawn and garden",
+        "{}, n.e.c.*",
+        "Waiting related to {}, n.e.c.*",
+    )
+    tier2 = int(code[2:4])
+    form = forms[tier2 - 1] if tier2 <= len(forms) else "{}"
+    return f"{form.format(summary)} ({code[4:]})"
+
+
+CODE_NAMES = tuple((code, _code_name(code)) for code in CODES)
+
 REPLICATES = 160
 WORK_DAY_MINUTES = 30
 OUTLIER_YEAR = 1999
@@ -75,15 +102,11 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# half or one and a half times the weight, by case and replicate
-REPLICATE_FORMULA = (
-    "base_weight * case when ((case_id % 1009) * (replicate + 17) + replicate * replicate) % 1009 % 2 = 0"
-    " then 0.5D else 1.5D end"
-)
-
-
 def replicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as case_id", "o_totalprice as base_weight")
+    """Half or one and a half times the weight, by case and replicate."""
+    perturbed = f"""transform(sequence(1, {REPLICATES}), r -> o_totalprice *
+        case when ((o_orderkey % 1009) * (r + 17) + r * r) % 1009 % 2 = 0 then 0.5D else 1.5D end)"""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as case_id", f"{perturbed} as weights")
 
 
 def _diary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +209,7 @@ def survey(spark: SparkSession, sf_dir: str, *needed: str) -> Survey:
     return Survey(
         **frames,
         diary_labels=labels,
-        activity_names=lookups.activity_names(spark),
+        activity_names=spark.createDataFrame(list(CODE_NAMES), "code string, description string"),
         work_day_minutes=WORK_DAY_MINUTES,
         diary_columns=("day_of_week", "holiday", "diary_year"),
-        replicate_formula=(REPLICATES, REPLICATE_FORMULA),
     )

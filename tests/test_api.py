@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import daygrain
 from daygrain import api
-from daygrain.operators import categorize
+from daygrain.operators import categorize, estimates
 from daygrain.plans import reports
 from daygrain.sources import readers, writers
 
@@ -45,6 +45,44 @@ def test_collapsing_three_ways(spark, wide):
     assert [tuple(r) for r in all_in_one] == [("All activites provided", 56000.0 / 600)]
 
 
+@pytest.mark.parametrize("n", [64, 65, 450])
+def test_any_number_of_labels(spark, n):
+    """Labels and column names of any kind and number take the same path."""
+    names = [f"t{i}" for i in range(n)]
+    df = spark.range(1, 4).selectExpr(
+        "id as TUCASEID", "cast(id as double) as TUFNWGTP", *[f"cast((id + {i}) % 3 as double) as {c}" for i, c in enumerate(names)]
+    )
+    got = daygrain.get_min_per_part(df, None, names, [(c, f"label {c}") for c in names]).collect()
+    assert len(got) == n
+    for r in got:
+        i = int(r.activity.removeprefix("label t"))
+        spent = {k: (k + i) % 3 for k in (1, 2, 3)}
+        assert r.weighted_minutes == pytest.approx(sum(k * m for k, m in spent.items()) / 6)
+        assert r.participation_rate == pytest.approx(sum(k for k, m in spent.items() if m) / 6)
+    with pytest.raises(ValueError):
+        daygrain.get_minutes(df, None, names, [(names[0], "a"), *[(c, c) for c in names]])
+
+
+def test_missing_minutes_in_the_wide_file(spark, wide):
+    holed = wide.withColumn("t050201", F.when(F.col("TUCASEID") != 2, F.col("t050201")))
+    for simplify in (None, True, api.descriptions(wide)):
+        with pytest.raises(Exception, match="missing value in t050201"):
+            daygrain.get_minutes(holed, ["TESEX"], simplify=simplify).collect()
+
+
+def test_codes_nobody_spent_time_on(spark, wide):
+    """The header decides which codes get a row, in the survey as in the functions."""
+    idle = wide.withColumn("t120303", F.lit(0.0)).drop("TESEX")
+    s = daygrain.Survey.from_tables(idle)
+    got = estimates.weighted_minutes(s.respondents, s.minutes, codes=s.codes).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, daygrain.get_minutes(idle).collect()))
+    assert {r.activity: r.weighted_minutes for r in got}["t120303"] == 0
+    with pytest.raises(ValueError, match="code list"):
+        reports.code_catalogue(s)
+    s.activity_names = spark.createDataFrame([("010101", "Sleeping")], "code string, description string")
+    assert reports.code_catalogue(s).count() == 4
+
+
 def test_deprecated_alias(wide):
     with pytest.warns(DeprecationWarning):
         old = daygrain.apply_weights(wide, ["TESEX"])
@@ -118,7 +156,8 @@ def test_directory_to_reports(spark, tmp_path):
     assert sorted(t) == ["act", "cps", "resp", "sum", "wgts"]
     assert spark.table("sum").schema["t010101"].dataType.simpleString() == "double"
     assert t["act"].first().TRCODEP == "010101"
-    s = daygrain.Survey.from_tables(t["sum"], t["act"], t["resp"], t["cps"], t["wgts"])
+    names = spark.createDataFrame([("010101", "Sleeping"), ("120303", "Leisure at home"), ("120304", "Leisure away")], "Code string, Description string")
+    s = daygrain.Survey.from_tables(t["sum"], t["act"], t["resp"], t["cps"], t["wgts"], activity_names=names)
     assert s.minutes.count() == 4
     day = {r.period: r.description for r in reports.weekday_sequence(s).collect()}
     assert len(day) == 48 and day[1] == "Sleep" and day[30] == "Socializing, Relaxing, and Leisure"

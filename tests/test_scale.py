@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from daygrain.testbed.oracle import ORACLE
+from daygrain.testbed.queries import QUERIES
 from tests.oracle_check import TABLES, compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def large_plans(spark):
     """Physical plans without any automatic broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    plans = {n: q(spark, SF)._jdf.queryExecution().executedPlan().toString() for n, q in entry.queries().items()}
+    plans = {n: q(spark, SF)._jdf.queryExecution().executedPlan().toString() for n, q in QUERIES.items()}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     return plans
 
@@ -59,6 +60,18 @@ def test_respondent_line_is_limited_before_the_shuffle(large_plans):
     assert "WindowGroupLimit" in large_plans["demographics_weekend"]
 
 
+def test_weighted_minutes_need_no_rows_brought_together(large_plans):
+    plan = large_plans["weighted_minutes_by_group"]
+    assert not re.search(r"hashpartitioning\(\w+#\d+L?, activity#\d+", plan)
+
+
+def test_diaries_need_few_exchanges(large_plans):
+    plan = large_plans["diary_sequence_1min"]
+    # the cells, then everything of a case in one place
+    by_case = re.findall(r"Exchange hashpartitioning\((case_id#\d+L[^)]*)\)", plan)
+    assert len(by_case) == 2 and "k#" in by_case[1] and "k#" not in by_case[0]
+
+
 @pytest.fixture(scope="module")
 def skewed(tmp_path_factory):
     folder = tmp_path_factory.mktemp("skewed")
@@ -98,4 +111,4 @@ HOT = (
 def test_hot_keys_keep_results_whole(spark, skewed, name):
     con = duck(skewed)
     assert con.execute("SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)").fetchall()[0][0] > 0.3
-    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], skewed) is None
+    assert compare(spark, con, QUERIES[name], ORACLE[name], skewed) is None

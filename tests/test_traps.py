@@ -8,6 +8,7 @@ from daygrain import lookups
 from daygrain.functions import clock, labels, numeric
 from daygrain.operators import breakdowns, categorize, demographics, diary, estimates, profile, reshape, variance
 from daygrain.operators.categorize import CURATED, Labelling
+from tests.code_names import ACTIVITY_NAMES
 
 
 def people(spark, rows):
@@ -122,8 +123,13 @@ def test_standard_error_by_hand(spark):
     assert row.upper - row.lower == pytest.approx(4 * row.se)
     same = spark.createDataFrame([(1, [1.0] * 5), (2, [1.0] * 5)], "case_id long, weights array<double>")
     assert one(variance.replicate_se(p, same, ["g"])).se == 0
-    formula = variance.replicate_se(p, p.select("case_id"), ["g"], (2, "case when case_id = replicate then 3.0D else 1.0D end"))
-    assert one(formula).se == pytest.approx(row.se)
+
+
+def test_missing_replicate_weights_are_an_error(spark):
+    p = spark.createDataFrame([(1, 1.0, 10.0, 1), (2, 1.0, 30.0, 1)], "case_id long, weight double, minutes double, g int")
+    w = spark.createDataFrame([(1, [3.0, 1.0])], "case_id long, weights array<double>")
+    with pytest.raises(Exception, match="no replicate weights for case 2"):
+        variance.replicate_se(p, w, ["g"]).collect()
 
 
 # --- diaries --------------------------------------------------------------
@@ -218,11 +224,11 @@ def test_sequence_against_brute_force(spark):
     assert got == want
 
 
-def test_whole_days_and_arrays(spark):
+def test_whole_days(spark):
     s = spells(spark, [(1, 1, 0, 1440, "A"), (2, 1, 0, 1439, "A")])
     assert [x.case_id for x in diary.whole_day_cases(s).collect()] == [1]
-    row = diary.sequence_arrays(diary.one_minute_sequence(s)).filter("case_id = 1").first()
-    assert row.sequence == ["A"] * 48
+    rows = diary.one_minute_sequence(s).filter("case_id = 1").collect()
+    assert {r.period: r.description for r in rows} == dict.fromkeys(range(1, 49), "A")
 
 
 def test_whole_days_in_the_same_pass(spark):
@@ -340,12 +346,15 @@ def test_fuzzy_match_against_all_pairs(spark):
     got = {(r.a, r.b) for r in breakdowns.stringdist_left_join(left, right, "a", "b").collect() if r.b is not None}
 
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        rows = [list(range(len(b) + 1))]
         for i, x in enumerate(a, 1):
-            row, last = [i], row
+            row, last = [i], rows[-1]
             for j, y in enumerate(b, 1):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
+                if i > 1 and j > 1 and (x, y) == (b[j - 2], a[i - 2]):
+                    row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+            rows.append(row)
+        return rows[-1][-1]
 
     assert got == {(a, b) for a in words[::2] for b in words if distance(a, b) <= 2}
 
@@ -370,22 +379,66 @@ def test_profile_counts_missing(spark):
     assert profile.column_profile(df, with_null=False).count() == 2
 
 
+def test_many_labels(spark):
+    """More labels than two bytes can number."""
+    known = spark.range(70_000).selectExpr("concat('d', id) as description")
+    s = spells(spark, [(1, 1, 0, 1440, "d70000"), (2, 1, 0, 1440, "d4464")])
+    listed = diary.described(known.unionByName(s.select("description")), "description")
+    for got in (
+        diary.five_minute_sequence(s, listed),
+        diary.one_minute_sequence(s, listed),
+        diary.five_minute_slots(s, listed),
+    ):
+        assert {(r.case_id, r.description) for r in got.collect()} == {(1, "d70000"), (2, "d4464")}
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(diary, "LABEL_SPACE", 4)
+    s = spells(spark, [(i, 1, 0, 1440, f"d{i}") for i in range(4)])
+    with pytest.raises(Exception, match="4 or more different values"):
+        diary.one_minute_sequence(s).collect()
+    with pytest.raises(ValueError):
+        diary.one_minute_sequence(s, ["a", "b", "c", "d"])
+
+
+@pytest.mark.parametrize(
+    "a,b,n",
+    [("", "", 0), ("", "ab", 2), ("ab", "", 2), ("ab", "ba", 1), ("ca", "abc", 3), ("Ohio", "Oiho", 1), ("abcd", "badc", 2),
+     ("kitten", "sitting", 3), ("same", "same", 0), ("éa", "aé", 1), ("a", "b", 1)],
+)
+def test_edit_distance(spark, a, b, n):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert one(df.select(breakdowns.edit_distance(F.col("a"), F.col("b")).alias("d"))).d == n
+    assert one(df.select(breakdowns.edit_distance(F.col("b"), F.col("a")).alias("d"))).d == n
+
+
+def test_swapped_letters_are_one_edit(spark):
+    left = spark.createDataFrame([("Maryland",), ("Ohio",)], "name string")
+    right = spark.createDataFrame([("Mrayalnd",), ("Oihoo",), ("Iowa",)], "region string")
+    got = breakdowns.stringdist_left_join(left, right, "name", "region").collect()
+    assert {(r.name, r.region, r.distance) for r in got} == {("Maryland", "Mrayalnd", 2), ("Ohio", "Oihoo", 2)}
+
+
 # --- codes ----------------------------------------------------------------
 
 
+def names(spark):
+    return spark.createDataFrame(list(ACTIVITY_NAMES), "code string, description string")
+
+
 @pytest.mark.parametrize("keyword,n", [("wait", 49), ("leisure", 7), ("secu", 20), ("gard", 7), ("files", 0)])
 def test_code_keywords(spark, keyword, n):
-    assert categorize.codes_named(lookups.activity_names(spark), keyword).count() == n
+    assert categorize.codes_named(names(spark), keyword).count() == n
 
 
 def test_security_without_home(spark):
-    codes = categorize.codes_named(lookups.activity_names(spark), "secu", exclude=["Home security"])
+    codes = categorize.codes_named(names(spark), "secu", exclude=["Home security"])
     assert codes.count() == 19 and codes.filter("activity = 't020905'").count() == 0
 
 
 @pytest.mark.parametrize("patterns", [lookups.CATEGORIES_V1, lookups.CATEGORIES_V2])
 def test_every_code_has_one_category(spark, patterns):
-    names = [f"t{code}" for code, _ in lookups.ACTIVITY_NAMES]
+    names = [f"t{code}" for code, _ in ACTIVITY_NAMES]
     header = categorize.label_header(names, patterns)
     assert len(header) == len(names) and all(d for _, d in header)
     codes = spark.createDataFrame([(n,) for n in names], "activity string")
@@ -403,7 +456,7 @@ def test_code_check(spark):
 
 
 def test_plain_prefix_equals_regular_expression(spark):
-    names = [f"t{code}" for code, _ in lookups.ACTIVITY_NAMES] + ["t500101", "t189901", "x"]
+    names = [f"t{code}" for code, _ in ACTIVITY_NAMES] + ["t500101", "t189901", "x"]
     df = spark.createDataFrame([(n,) for n in names], "c string")
     for pattern, _ in lookups.CATEGORIES_V1:
         both = df.select(categorize.pattern_hit(F.col("c"), pattern).alias("a"), F.col("c").rlike(pattern).alias("b"))
@@ -414,7 +467,7 @@ def test_plain_prefix_equals_regular_expression(spark):
 def test_codes_among_labels(spark, wanted):
     import re
 
-    names = [f"t{code}" for code, _ in lookups.ACTIVITY_NAMES] + ["t990101"]
+    names = [f"t{code}" for code, _ in ACTIVITY_NAMES] + ["t990101"]
     df = spark.createDataFrame([(n,) for n in names], "c string")
     overlapping = Labelling((("t01.*", "Work"), ("t0101.*", "Sleep"), ("t02.*", "Other"), ("t.*", "Work too")))
     for labelling in (CURATED, overlapping):
