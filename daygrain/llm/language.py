@@ -11,9 +11,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.common import ship
+from daygrain.llm.common import ship, stored
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, 1500  # of each language's dictionary
+MOST_LANGUAGES = 500  # more are an error: each has a dictionary in every worker
 CHUNK = 4096  # bytes that are compressed at once, so that the dictionary counts everywhere in a long text
 LEVEL = 6
 NARROW = 0.01  # share by which the smallest size must be below the second
@@ -35,8 +36,10 @@ def dictionaries(
     rows = df.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text"), order.alias("_order")
     )
-    # one row per language
-    counts = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+    # one row per language, so a small table as soon as their number is checked
+    counts = stored(rows.groupBy("_lang").agg(F.count("*").alias("_n")))
+    if (number := counts.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{number} languages; at most {MOST_LANGUAGES} can have a dictionary")
     share = F.pmod(F.col("_order"), F.lit(1_000_003)) < F.lit(1_000_003 * SAMPLE_TEXTS) / F.col("_n")
     room = F.greatest(F.length("_text") - SAMPLE_CHARS, F.lit(0)) + 1
     sample = (

@@ -101,6 +101,12 @@ def test_language_of_awkward_rows(docs, no_docs):
     assert language.identify(no_docs, F.lit(True)).count() == 0
 
 
+def test_too_many_languages_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="3 languages"):
+        language.identify(docs, F.lit(True))
+
+
 def test_whole_text_counts():
     contents = {"a": b"the quick brown fox jumps over the lazy dog " * 20, "b": b"ein flinker brauner fuchs springt weit " * 20}
     c = language.Compressors(contents)
