@@ -33,11 +33,6 @@ def cap_wrapped(start: Column, end: Column, cap: int) -> Column:
     return F.when(end < start, F.lit(cap)).otherwise(end).cast("int")
 
 
-def period_of(minute: Column, length: int = 30) -> Column:
-    """1-based index of the period a minute falls in."""
-    return whole(minute, length) + 1
-
-
 def _hours_minutes(minutes: Column, rounded: bool) -> tuple[Column, Column]:
     hours = F.floor(minutes / 60)
     rest = minutes - hours * 60

@@ -247,10 +247,3 @@ def participation(respondents, minutes, groups=None, activities=None, simplify=N
     """Weighted share of people with any time in the activity."""
     out = per_participant(respondents, minutes, groups, activities, simplify, **options)
     return out.select("activity", *group_list(groups), "participation_rate")
-
-
-def work_day_flag(minutes: DataFrame, threshold: float = 120, code: str = "t05") -> DataFrame:
-    """Cases whose minutes in the given code family reach the threshold."""
-    worked = minutes.filter(F.col("activity").contains(code))
-    totals = worked.groupBy("case_id").agg(F.sum("minutes").alias("work_minutes"))
-    return totals.filter(F.col("work_minutes") >= threshold).select("case_id")

@@ -1,8 +1,9 @@
 """Smooth trends per group: cubic and spline regression, local regression.
 
 The input is a table of estimates with one point per group and x. Sums of products are
-ordinary aggregates, so a group is never gathered in one place; only its handful of
-coefficients travels back to the points.
+ordinary aggregates, so regressions never gather a group in one place; only its handful of
+coefficients travels back to the points. Local regression ranks the points of a group, and
+their distances to each of its few vertices, in windows: a task sorts one series of estimates.
 """
 
 from __future__ import annotations

@@ -18,8 +18,3 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
-def write_by_case(df: DataFrame, table: str, buckets: int) -> None:
-    """A table bucketed by case id: tables written alike join on it without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, "case_id").sortBy("case_id").format("parquet").saveAsTable(table)
