@@ -8,7 +8,6 @@ import os
 import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,9 +110,15 @@ def document_pieces(df: DataFrame, path: str, text: str, doc_id: str, capacity:
 
 def best_fit(bins: list[tuple[int, ...]], lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
     """``lengths``, in their order, put each into the fullest bin that has room, or a new one."""
-    full = [b for b in bins if sum(b) >= capacity]
-    open_bins = [list(b) for b in bins if sum(b) < capacity]
-    free = sorted((capacity - sum(b), i) for i, b in enumerate(open_bins))
+    full, open_bins, free = [], [], []
+    for b in bins:
+        room = capacity - sum(b)
+        if room <= 0:
+            full.append(b)
+        else:
+            free.append((room, len(open_bins)))
+            open_bins.append(list(b))
+    free.sort()
     for length in lengths:
         at = bisect.bisect_left(free, (length, -1))
         if at < len(free):
@@ -138,21 +143,28 @@ def cross(giver: list[tuple[int, ...]], taker: list[tuple[int, ...]], capacity:
     Bins of the taker that hold a document of an injected bin go, and their other documents are put back by
     best fit, longest first.
     """
-    solid = [b for b in giver if sum(b) >= SOLID * capacity]
-    injected = [b for b in solid if rng.random() < 0.5]
-    rest = Counter(x for b in taker for x in b)
+    injected = [b for b in giver if sum(b) >= SOLID * capacity and rng.random() < 0.5]
+    # how many documents of each length are not placed yet
+    rest = [0] * (capacity + 1)
+    for b in taker:
+        for x in b:
+            rest[x] += 1
     for b in injected:
-        rest.subtract(b)
+        for x in b:
+            rest[x] -= 1
     kept = []
-    order = sorted(taker, key=lambda b: (-sum(b), rng.random()))
+    order = [b for _, _, b in sorted((-sum(b), rng.random(), b) for b in taker)]
     # a few of the least filled bins are opened as well, so that their documents can go elsewhere
     opened = len(order) - max(2, len(order) // 20)
     for b in order[:opened]:
-        need = Counter(b)
-        if all(rest[x] >= n for x, n in need.items()):
-            rest.subtract(need)
+        for x in b:
+            rest[x] -= 1
+        if all(rest[x] >= 0 for x in b):
             kept.append(b)
-    displaced = sorted(rest.elements(), reverse=True)
+        else:
+            for x in b:
+                rest[x] += 1
+    displaced = [x for x in range(capacity, 0, -1) for _ in range(rest[x])]
     return best_fit(injected + kept, displaced, capacity)
 
 
