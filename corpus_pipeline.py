@@ -41,7 +41,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # a smaller cache than in a job of its own, as the workers of earlier stages still hold memory
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cached_words=200_000)
 
 
 STAGES = [

@@ -67,12 +67,14 @@ class JsonBpe:
 
 
 @functools.cache
-def coder(path: str) -> JsonBpe:
+def coder(path: str, cached_words: int = CACHED_WORDS) -> JsonBpe:
     """One coder and one cache in each Python worker."""
-    return JsonBpe(path)
+    return JsonBpe(path, cached_words)
 
 
-def document_pieces(df: DataFrame, path: str, text: str, doc_id: str, capacity: int, end_id: int) -> DataFrame:
+def document_pieces(
+    df: DataFrame, path: str, text: str, doc_id: str, capacity: int, end_id: int, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """Pieces of every document's ids and the end id: ``_id, _row, piece, start, length, ids_crc32``.
 
     Only documents of more than ``capacity`` ids are cut, into pieces of ``capacity`` behind a first piece
@@ -81,7 +83,7 @@ def document_pieces(df: DataFrame, path: str, text: str, doc_id: str, capacity:
     ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = coder(path)
+        bpe = coder(path, cached_words)
         end = packed([end_id])
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
@@ -290,6 +292,7 @@ def pack_documents(
     capacity: int = 2048,
     end_id: int = 0,
     block: int = BLOCK,
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """Pieces of all documents and their places: id, ``piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -297,10 +300,12 @@ def pack_documents(
     of which may be shorter. Pieces of full length are sequences of their own (negative sequence ids); the
     first pieces of all documents are packed by the genetic algorithm.
 
+    ``cached_words`` bounds the words whose ids a worker remembers: fewer take less memory and more time.
+
     A null or empty text is the end id alone. Repeated rows and null ids are documents like any other. An
     empty input gives an empty result. Other columns of ``df`` are ignored, whatever their names.
     """
-    pieces = stored(document_pieces(df, path, text, doc_id, capacity, end_id))
+    pieces = stored(document_pieces(df, path, text, doc_id, capacity, end_id, cached_words))
     whole = pieces.where(F.col("length") == capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
