@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import byte_bpe, exact_dedup, language, line_dedup, packing, quality, secret_scan, sharding, simhash, vector_dedup
+from daygrain.llm import alignment, byte_bpe, clustering, exact_dedup, language, line_dedup, packing, quality, secret_scan, sharding, simhash, vector_dedup
 from daygrain.llm.common import read
 
 
@@ -104,4 +104,31 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_secret_scan, op4_language, op5_exact_dedup, op6_vector_dedup, op7_sharding, op8_packing, op9_quality, op10_byte_bpe)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every usable vector."""
+    return clustering.centroid_clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers give every document."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.token_links(read(spark, sf_dir, "documents"), *paths)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_simhash,
+        op3_secret_scan,
+        op4_language,
+        op5_exact_dedup,
+        op6_vector_dedup,
+        op7_sharding,
+        op8_packing,
+        op9_quality,
+        op10_byte_bpe,
+        op11_centroid_clustering,
+        op13_cross_tokenizer,
+    )
+}

@@ -33,4 +33,53 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM hashed WINDOW g AS (PARTITION BY text_sha256)
 """
 
-ORACLE = {"op1_line_dedup": OP1, "op5_exact_dedup": OP5}
+
+
+def _clustering(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """The rounds of clustering, written out one after the other."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, vec_id, embedding FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dims}
+)""",
+        """points AS MATERIALIZED (
+    SELECT row_id, generate_subscripts(embedding, 1) AS i, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS x
+    FROM kept
+)""",
+        f"""centers0 AS MATERIALIZED (
+    SELECT cluster, i, x FROM (
+        SELECT row_id, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, vec_id, embedding) - 1 AS cluster
+        FROM kept
+    ) JOIN points USING (row_id) WHERE cluster < {k}
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""nearest{r} AS MATERIALIZED (
+    SELECT row_id, cluster, distance FROM (
+        SELECT p.row_id, c.cluster, sum((p.x - c.x) * (p.x - c.x)) AS distance
+        FROM points p JOIN centers{r} c USING (i) GROUP BY p.row_id, c.cluster
+    ) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY distance, cluster) = 1
+)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""centers{r + 1} AS MATERIALIZED (
+    SELECT c.cluster, c.i, coalesce((s.total - ((s.total % s.n) + s.n) % s.n) // s.n, c.x) AS x
+    FROM centers{r} c LEFT JOIN (
+        SELECT a.cluster, p.i, sum(p.x) AS total, count(*) AS n FROM nearest{r} a JOIN points p USING (row_id)
+        GROUP BY a.cluster, p.i
+    ) s ON s.cluster = c.cluster AND s.i = c.i
+)"""
+            )
+    return f"""WITH {", ".join(steps)}, digests AS (
+    SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM centers{rounds} GROUP BY cluster
+)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM kept JOIN nearest{rounds} USING (row_id) JOIN digests USING (cluster)
+"""
+
+
+ORACLE = {"op1_line_dedup": OP1, "op5_exact_dedup": OP5, "op11_centroid_clustering": _clustering()}

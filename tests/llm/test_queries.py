@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op9_quality": {"doc_id", "held_out", "score", "predicted"},
     "op10_byte_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op13_cross_tokenizer": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
