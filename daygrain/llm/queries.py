@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daygrain.llm import alignment, byte_bpe, clustering, exact_dedup, language, line_dedup, packing, quality, secret_scan, sharding, simhash, vector_dedup
+from daygrain.llm import alignment, byte_bpe, clustering, decontamination, exact_dedup, language, line_dedup, packing, quality, secret_scan, sharding, simhash, vector_dedup
 from daygrain.llm.common import read
 
 
@@ -62,7 +62,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     docs = read(spark, sf_dir, "documents").withColumn("text_sha256", exact_dedup.whole_digest(F.col("text")))
-    return exact_dedup.exact_duplicates(docs, carry=("text_sha256",)).select(
+    return exact_dedup.exact_duplicates(docs, carry=("text_sha256",), digest="text_sha256").select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
 
@@ -109,6 +109,20 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.centroid_clusters(read(spark, sf_dir, "embeddings"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that lie in passages of the benchmark, and its items."""
+    found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    hit = decontamination.n_hit(F.col("starts"), F.col("ends"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens that two tokenizers give every document."""
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
@@ -129,6 +143,7 @@ QUERIES = {
         op9_quality,
         op10_byte_bpe,
         op11_centroid_clustering,
+        op12_decontamination,
         op13_cross_tokenizer,
     )
 }

@@ -40,7 +40,7 @@ def _clustering(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
     steps = [
         f"""kept AS MATERIALIZED (
     SELECT row_number() OVER () AS row_id, vec_id, embedding FROM embeddings
-    WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dims}
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
 )""",
         """points AS MATERIALIZED (
     SELECT row_id, generate_subscripts(embedding, 1) AS i, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS x
@@ -82,4 +82,39 @@ FROM kept JOIN nearest{rounds} USING (row_id) JOIN digests USING (cluster)
 """
 
 
-ORACLE = {"op1_line_dedup": OP1, "op5_exact_dedup": OP5, "op11_centroid_clustering": _clustering()}
+#: Words and windows of ten; items with fewer words are one window.
+OP12 = f"""
+WITH doc AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM documents
+), item AS (
+    SELECT item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark
+), wanted AS MATERIALIZED (
+    SELECT DISTINCT item_id, least(10, len(words)) AS size, unnest(
+        list_transform(range(1, greatest(len(words) - 9, 1) + 1), lambda i: array_to_string(words[i : i + 9], ' '))
+    ) AS passage
+    FROM item WHERE len(words) > 0
+), place AS (
+    SELECT row_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+    FROM doc CROSS JOIN (SELECT DISTINCT size FROM wanted)
+), hit AS MATERIALIZED (
+    SELECT row_id, pos, w.size, item_id FROM (
+        SELECT row_id, pos, size, array_to_string(words[pos : pos + size - 1], ' ') AS passage FROM place
+    ) p JOIN wanted w ON w.size = p.size AND w.passage = p.passage
+), word AS (
+    SELECT row_id, count(DISTINCT pos) AS n_hit FROM (SELECT row_id, unnest(range(pos, pos + size)) AS pos FROM hit) GROUP BY row_id
+), items AS (
+    SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+    FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (row_id) LEFT JOIN items USING (row_id)
+"""
+
+ORACLE = {
+    "op1_line_dedup": OP1,
+    "op5_exact_dedup": OP5,
+    "op11_centroid_clustering": _clustering(),
+    "op12_decontamination": OP12,
+}
