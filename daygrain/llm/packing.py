@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
-import os
 import random
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,58 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daygrain.llm.byte_bpe import CACHED_WORDS, WordCache, encode_texts, packed
+from daygrain.llm.byte_bpe import CACHED_WORDS, encode_texts, packed
 from daygrain.llm.common import ship, stored
-from daygrain.llm.pretokenize import split_tokens
+from daygrain.llm.json_bpe import JsonBpe
 
 BLOCK = 4096  # documents that are packed together, on average
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 2, 5, 10
 SOLID = 0.995  # a bin this full is handed on whole
 
 
-@functools.cache
-def byte_letters() -> dict[int, str]:
-    """The letter by which byte-level vocabularies write each byte: itself if it is visible, else one from 256 on."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-
-class JsonBpe:
-    """Ids by a byte-level tokenizer file, word by word with a cache; strings of special tokens give their ids."""
-
-    def __init__(self, path: str, most: int = CACHED_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.model = tokenizer.model
-        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.splitter = re.compile("|".join(f"({re.escape(s)})" for s in self.special)) if self.special else None
-        self.letters = byte_letters()
-        self.cache = WordCache(self._ids, most)
-
-    def _ids(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        parts, owners = [], []
-        for i, text in enumerate(texts):
-            if self.splitter and any(s in text for s in self.special):
-                own = [p for p in self.splitter.split(text) if p]
-            else:
-                own = [text]
-            parts += own
-            owners += [i] * len(own)
-        words = split_tokens(["" if p in self.special else p for p in parts])
-        of = self.cache.__getitem__
-        out = [b""] * len(texts)
-        for i, part, own in zip(owners, parts, words):
-            out[i] += packed([self.special[part]]) if part in self.special else b"".join(map(of, own))
-        return out
-
-
 @functools.cache
 def coder(path: str, cached_words: int = CACHED_WORDS) -> JsonBpe:
     """One coder and one cache in each Python worker."""
@@ -171,15 +126,17 @@ def cross(giver: list[tuple[int, ...]], taker: list[tuple[int, ...]], capacity:
 
 
 def evolve(lengths: list[int], population: list, capacity: int, children: int, size: int, rng: random.Random) -> list:
-    """The best ``size`` solutions, best first, after ``children`` crossings of ``population``."""
-    pool = [(fitness(s, capacity), s) for s in population]
-    if not pool:
-        pool_solutions = [best_fit([], lengths, capacity)]
-        while len(pool_solutions) < size:
-            mixed = sorted(lengths, key=lambda x: -x * rng.uniform(0.8, 1.0))
-            pool_solutions.append(best_fit([], mixed, capacity))
-        pool = [(fitness(s, capacity), s) for s in pool_solutions]
+    """The best ``size`` solutions, best first, after ``children`` crossings of ``population``.
+
+    Without a population it starts from best fit in several orders; the first packing with the least possible number
+    of bins ends the search.
+    """
     least = -(-sum(lengths) // capacity)
+    solutions = population or [best_fit([], lengths, capacity)]
+    while len(solutions) < size and not population and len(solutions[-1]) > least:
+        mixed = sorted(lengths, key=lambda x: -x * rng.uniform(0.8, 1.0))
+        solutions.append(best_fit([], mixed, capacity))
+    pool = [(fitness(s, capacity), s) for s in solutions]
     pool.sort(key=lambda x: x[0], reverse=True)
     for _ in range(children):
         if -pool[0][0][0] == least:
@@ -245,8 +202,10 @@ def pack_items(items: DataFrame, capacity: int, block: int, islands: int = ISLAN
         F.transform("_items", lambda x: x["length"].cast("int")).alias("lengths"),
         F.array().cast("array<array<int>>").alias("population"),
     )
+    # a number of tasks is given, so that small states of much work are not merged into one task
+    tasks = min(blocks * islands, 4 * items.sparkSession.sparkContext.defaultParallelism)
     for epoch in range(epochs):
-        spread = state.repartition("_block", "_island")
+        spread = state.repartition(tasks, "_block", "_island")
         state = stored(spread.mapInPandas(grow(epoch), schema))
         elite = state.select(
             "_block", ((F.col("_island") + 1) % islands).cast("int").alias("_island"), F.col("population")[0].alias("_guest")

@@ -159,3 +159,38 @@ def test_crossing_keeps_every_document():
         a, b = b, child
     best = packing.evolve(lengths, [], 100, 30, 5, rng)[0]
     assert len(best) <= len(packing.best_fit([], sorted(lengths, reverse=True), 100))
+
+
+def test_search_beats_best_fit():
+    """Lengths that best fit packs badly: crossing finds fewer sequences."""
+    rng = random.Random(2)
+    lengths = sorted((rng.randrange(500, 901) for _ in range(4096)), reverse=True)
+    first = packing.best_fit([], lengths, 2048)
+    found = packing.evolve(lengths, [], 2048, packing.CHILDREN, packing.POPULATION, random.Random(3))
+    again = packing.evolve(lengths, found, 2048, packing.CHILDREN, packing.POPULATION, random.Random(4))
+    assert len(again[0]) <= len(found[0]) < len(first)
+    assert sorted(x for b in again[0] for x in b) == sorted(lengths)
+
+
+def test_no_search_where_best_fit_meets_the_bound():
+    assert len(packing.evolve([1024] * 40, [], 2048, 10, 5, random.Random(1))) == 1
+
+
+def test_islands_are_spread_over_tasks(spark):
+    rng = random.Random(5)
+    items = spark.createDataFrame([(i, rng.randrange(500, 901)) for i in range(600)], "_row long, length long")
+    seen = []
+    real = packing.stored
+
+    def noted(df):
+        out = real(df)
+        if "population" in df.columns:
+            seen.append(out.rdd.getNumPartitions())
+        return out
+
+    packing.stored = noted
+    try:
+        placed = packing.pack_items(items, 2048, 100).collect()
+    finally:
+        packing.stored = real
+    assert len(placed) == 600 and seen and min(seen) > 1
