@@ -16,15 +16,16 @@ from daygrain.llm.common import components, ship, stored
 BITS = 64
 
 
-def shingles(text: str | None, words: int) -> list[bytes]:
+def shingles(text: str | None, words: int) -> Iterator[bytes]:
     """All word shingles of a text in order, repeats included; a shorter text is one, without words there is none."""
     parts = (text or "").encode().lower().split()
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return [joined] if parts else []
+        yield from [joined] if parts else []
+        return
     ends = list(itertools.accumulate(map(len, parts), lambda a, n: a + 1 + n))
     starts = [0, *[e + 1 for e in ends[: len(parts) - words]]]
-    return [joined[a:b] for a, b in zip(starts, ends[words - 1 :])]
+    yield from (joined[a:b] for a, b in zip(starts, ends[words - 1 :]))
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -34,17 +35,9 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     one shingle, a text without words (or null) has fingerprint zero. A bit is 1 if it is set in over half
     of the shingles' XXH64 values (seed 42).
     """
-    parts = (text or "").encode().lower().split()
-    if not parts:
+    hashes = [xxhash.xxh64_intdigest(shingle, 42) for shingle in shingles(text, words)]
+    if not hashes:
         return 0
-    joined = b" ".join(parts)
-    ends = list(itertools.accumulate(map(len, parts), lambda a, n: a + 1 + n))
-    digest = xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        hashes = [digest(joined, 42)]
-    else:
-        starts = [0, *[e + 1 for e in ends[: len(parts) - words]]]
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])]
     ones = np.zeros(BITS, dtype=np.int64)
     # a long text is counted in slices, so that its bits need little memory
     for at in range(0, len(hashes), 1 << 16):
@@ -144,11 +137,16 @@ def near_duplicates(
     )
 
 
-def _one_of_each(df: DataFrame, text: str, doc_id: str, find) -> DataFrame:
-    """``df`` with one row of each ``root`` that ``find`` gives for the columns ``_id``, ``_text`` and two row keys."""
+def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``df`` with one row of each component: the one with the least id, among equal ids the least text hash.
+
+    Null ids come last. Of rows with the same id and text one stays, whichever. The other rules are those of
+    :func:`near_duplicates`.
+    """
     key = [F.xxhash64(F.col(doc_id)).alias("_id_key"), F.xxhash64(F.col(text)).alias("_text_key")]
     keys = ["_id_key", "_text_key"]
-    found = find(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *key))
+    keyed = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *key)
+    found = near_duplicates(keyed, "_text", "_id", carry=tuple(keys), **options)
     winners = stored(
         found.groupBy("root")
         .agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), *keys)).alias("_best"))
@@ -158,155 +156,3 @@ def _one_of_each(df: DataFrame, text: str, doc_id: str, find) -> DataFrame:
     # both steps use the same keys, so that whole rows are dealt once
     stay = rows.join(winners, keys, "left_semi").groupBy(*keys).agg(F.first("_row").alias("_row"))
     return stay.select(*[F.col("_row")[c].alias(c) for c in df.columns])
-
-
-def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """``df`` with one row of each component: the one with the least id, among equal ids the least text hash.
-
-    Null ids come last. Of rows with the same id and text one stays, whichever. The other rules are those of
-    :func:`near_duplicates`.
-    """
-    keys = ("_id_key", "_text_key")
-    return _one_of_each(df, text, doc_id, lambda keyed: near_duplicates(keyed, "_text", "_id", carry=keys, **options))
-
-
-# cells of a text for :func:`similar_texts`; shingles that a cell has, on average, or more; the least that names one
-CELLS, CELL_SHINGLES, LEAST_SHINGLES = 32, 3, 3
-# from this class of sizes (16 shingles) on, cells with fewer than LEAST_SHINGLES are no keys
-LARGE = 4
-# differing bits of two whole-text fingerprints of 128 bits: about 20 to 24 are expected at a similarity of 0.8, and
-# 50 lie nearly six standard deviations above, while unrelated texts differ in 64
-WIDE_DISTANCE = 50
-
-
-def _classes(size: int) -> list[int]:
-    """Classes of sizes, by powers of two, of a text and of the larger texts that can be 0.8 similar to it."""
-    return sorted({size.bit_length() - 1, (size * 5 // 4).bit_length() - 1}) if size else []
-
-
-def cell_prints(hashes: np.ndarray) -> list[int]:
-    """Keys of a set of shingles: SimHash fingerprints of ``CELLS`` parts of it, for each of its size classes.
-
-    The shingles are dealt to cells by hash, so that a cell has ``CELL_SHINGLES`` to twice as many on average
-    whatever the size of the text; where that gives fewer than ``CELLS``, they are dealt again in other ways.
-    A cell that no differing shingle falls into has the same fingerprint in both texts. Empty cells have none,
-    and in texts that are not short neither have those of one or two shingles, which phrases of the language fill.
-    """
-    out = []
-    for level in _classes(len(hashes)):
-        n = max(2, -(-(1 << level) // CELL_SHINGLES))
-        for deal in range(-(-CELLS // n)):
-            mixed = hashes * np.uint64((0x9E3779B97F4A7C15 * (2 * deal + 1)) % (1 << 64))
-            cell = (mixed >> np.uint64(24)) % np.uint64(n) + np.uint64(deal * n)
-            used = np.flatnonzero(cell < CELLS)
-            used = used[np.argsort(cell[used], kind="stable")]
-            names, at, counts = np.unique(cell[used], return_index=True, return_counts=True)
-            if not len(names):
-                continue
-            bits = np.unpackbits(hashes[used].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-            prints = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-            # the class and the cell are part of the key
-            salt = (names + np.uint64(level * CELLS + 1)) * np.uint64(0xD6E8FEB86659FD93)
-            full = counts >= (LEAST_SHINGLES if level >= LARGE else 1)
-            out += (prints ^ salt)[full].view("<i8").tolist()
-    return out
-
-
-def wide_print(hashes: np.ndarray) -> tuple[int, int]:
-    """SimHash of 128 bits over a set of shingles, as two signed integers."""
-    ones = np.zeros(2 * BITS, dtype=np.int64)
-    # in slices, so that a long text needs little memory
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)]
-        # a second word by the finalizer of SplitMix64
-        z = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        both = np.stack([part, z ^ (z >> np.uint64(31))], axis=1)
-        ones += np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    low, high = np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
-    return low, high
-
-
-def similar(a: str | None, b: str | None, words: int = 5) -> bool:
-    """Whether the sets of word shingles have a Jaccard similarity of 0.8 or more, by the shingles themselves."""
-    left, right = set(shingles(a, words)), set(shingles(b, words))
-    common = len(left & right)
-    return 5 * common >= 4 * (len(left) + len(right) - common)
-
-
-def similar_texts(
-    df: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (), words: int = 5
-) -> DataFrame:
-    """One row per input row: id, ``carry``, ``node`` (digest of the words), ``root`` and ``component_id``.
-
-    Texts whose sets of ``words``-word shingles have a Jaccard similarity of 0.8 or more are linked. Candidates
-    share one of the keys of :func:`cell_prints` and are within ``WIDE_DISTANCE`` bits by :func:`wide_print`; each is
-    verified with its shingles. Words are those of :func:`fingerprint`; texts with the same words are one node, so that copies are never paired. Texts without
-    words are copies of each other. ``root`` is the least node of a component, ``component_id`` its least id.
-    Null ids never name a component, unless all its ids are null. Other columns of ``df`` are ignored.
-    """
-    ship(df.sparkSession)
-
-    @F.pandas_udf("node binary, low long, high long, keys array<long>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for t in batch:
-                hashes = np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, words)], dtype="<u8"))
-                node = xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split()))
-                made.append((node, *wide_print(hashes), cell_prints(hashes)))
-            yield pd.DataFrame(made, columns=["node", "low", "high", "keys"])
-
-    @F.pandas_udf("boolean")
-    def verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            yield pd.Series([similar(a, b, words) for a, b in zip(left, right)], dtype="bool")
-
-    body = F.col(text).cast("string")
-    place = (F.xxhash64(doc_id).alias("_place"), F.xxhash64(body).alias("_body"))
-    made = stored(
-        df.select(
-            F.col(doc_id).alias("_id"), *[F.col(c).alias(f"_carry_{c}") for c in carry], *place, sketch(body).alias("s")
-        ).select("*", "s.*").drop("s")
-    )
-    rows = made.drop("low", "high", "keys")
-    one = made.groupBy("node").agg(F.first(F.struct("low", "high", "keys")).alias("s"))
-    blocked = one.select("node", "s.low", "s.high", F.explode("s.keys").alias("key"))
-    left, right = blocked.alias("l"), blocked.alias("r")
-    bits = sum((F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in ("low", "high")), F.lit(0))
-    pairs = stored(
-        left.join(
-            right,
-            (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (bits <= WIDE_DISTANCE),
-        )
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        .distinct()
-    )
-    # one text of every node in a pair
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = rows.groupBy("node").agg(F.min(F.struct("_place", "_body")).alias("_at")).join(wanted, "node", "left_semi")
-    texts = stored(
-        df.select(*place, body.alias("_t"))
-        .join(named.select("node", "_at._place", "_at._body"), ["_place", "_body"])
-        .groupBy("node")
-        .agg(F.first("_t").alias("_t"))
-    )
-    links = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("_t").alias("_ta")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("_t").alias("_tb")), "b")
-        .where(verified("_ta", "_tb"))
-        .select("a", "b")
-    )
-    roots = stored(components(links))
-    linked = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = linked.groupBy("root").agg(F.min("_id").alias("component_id"))
-    return linked.join(least, "root").select(
-        F.col("_id").alias(doc_id), *[F.col(f"_carry_{c}").alias(c) for c in carry], "node", "root", "component_id"
-    )
-
-
-def drop_similar_texts(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5) -> DataFrame:
-    """``df`` with one row of each component of :func:`similar_texts`, chosen as in :func:`drop_near_duplicates`."""
-    keys = ("_id_key", "_text_key")
-    return _one_of_each(df, text, doc_id, lambda keyed: similar_texts(keyed, "_text", "_id", carry=keys, words=words))

@@ -7,7 +7,6 @@ import random
 import pytest
 import xxhash
 
-import corpus_pipeline
 from daygrain.llm import exact_dedup, line_dedup, simhash
 from daygrain.llm.common import components
 from tests.llm.data import PASSAGE, ROWS
@@ -173,88 +172,7 @@ def test_no_fingerprints(no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
-# --- similar texts -----------------------------------------------------------------------------------
-
-
-def shingles_by_hand(text, words=5):
-    parts = [w for w in "".join(" " if c in " \t\n\v\f\r" else c for c in lower(text)).split(" ") if w]
-    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
-
-
-def similar_by_hand(rows):
-    """Root (least index) of every row, by the exact similarity of all pairs."""
-    sets = [shingles_by_hand(r[1]) for r in rows]
-    near = [
-        (i, j)
-        for i, j in itertools.combinations(range(len(rows)), 2)
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
-    ]
-    return components_by_hand(range(len(rows)), near), near
-
-
-def edited(rng, parts, edits):
-    parts = list(parts)
-    for _ in range(edits):
-        at = rng.randrange(len(parts))
-        parts[at : at + rng.choice((0, 1, 1, 2))] = [f"new{rng.randrange(10**6)}"] * rng.choice((0, 1, 1, 2))
-    return " ".join(parts) or "none"
-
-
-def near_copies():
-    """Texts of 1 to 3,000 words with edited copies, some above and some below the similarity, and equal words."""
-    rng = random.Random(11)
-    rows = [(1000 + i, t) for i, t in enumerate([None, "", " \n", "One", "one", "one two", "a a a a a a a a", "a a a a a a"])]
-    for n in (5, 8, 9, 10, 14, 20, 24, 40, 67, 120, 133, 300, 520, 1000, 3000):
-        base = [f"w{rng.randrange(4000)}" for _ in range(n)]
-        rows.append((len(rows), " ".join(base)))
-        rows.append((len(rows), "\n".join(base).upper()))
-        rows.append((len(rows), " ".join(base + ["tail"])))
-        for share in (0.01, 0.02, 0.03, 0.05):
-            for _ in range(2):
-                rows.append((len(rows), edited(rng, base, max(1, round(n * share)))))
-    return rows
-
-
-def test_similar_texts_match_brute_force(spark):
-    rows = near_copies()
-    root, near = similar_by_hand(rows)
-    by_bits = {i: print_by_hand(r[1]) for i, r in enumerate(rows)}
-    assert sum((by_bits[i] ^ by_bits[j]).bit_count() > 2 for i, j in near) > 50  # out of reach of op2's rule
-    assert len(set(root.values())) < len(rows) - 50 and len(set(root.values())) > 30
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    expected = {}
-    for i, r in enumerate(rows):
-        expected[root[i]] = min(expected.get(root[i], r[0]), r[0])
-    got = {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()}
-    assert got == {r[0]: expected[root[i]] for i, r in enumerate(rows)}
-    assert {r.doc_id for r in simhash.drop_similar_texts(df).collect()} == set(expected.values())
-
-
-def test_similar_on_awkward_rows(docs, no_docs):
-    root, _ = similar_by_hand(ROWS)
-    got = simhash.drop_similar_texts(docs).collect()
-    assert got[0].__fields__ == docs.columns and len(got) == len(set(root.values()))
-    assert simhash.similar_texts(docs).count() == len(ROWS)
-    assert simhash.drop_similar_texts(no_docs).count() == 0
-
-
-def test_similar_on_a_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    root, _ = similar_by_hand(rows)
-    expected = {}
-    for i, r in enumerate(rows):
-        expected[root[i]] = min(expected.get(root[i], r[0]), r[0])
-    assert {r.doc_id for r in simhash.drop_similar_texts(docs).collect()} == set(expected.values())
-
-
-def test_pipeline_drops_edited_copies(spark):
-    words = [f"word{i}" for i in range(200)]
-    other = [*words[:50], "changed", *words[51:120], "twice", *words[121:]]
-    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:150])), (4, "other words")]
-    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = corpus_pipeline.without_near_copies(spark, df, "")
-    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+# --- components --------------------------------------------------------------------------------------
 
 
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
