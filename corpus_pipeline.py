@@ -30,8 +30,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a similarity of 0.8 or more."""
-    return simhash.drop_similar_texts(docs).select(*COLUMNS)
+    """One document of each group of near copies: fingerprints of three-word shingles at two bits or fewer."""
+    return simhash.drop_near_duplicates(docs, words=3, distance=2).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
