@@ -15,6 +15,7 @@ from daygrain.llm.common import ship
 SAMPLE = 6000  # rows of each kind, positive and unlabelled, that the classifier is fitted on, about
 HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-4
 THRESHOLD = 0.7
+CONFIDENCE, LEAST_PRIOR, PRIOR_ROUNDS = 0.1, 0.02, 2  # of the estimated class prior
 UPPER, LOWER, DIGIT, SPACE, BREAK, SENTENCE, MARK, WIDE = range(8)
 
 
@@ -73,12 +74,36 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Network:
-    """Minimises the non-negative unbiased risk with the logistic loss.
+def risk(
+    margin: np.ndarray, weight_positive: np.ndarray, weight_unlabelled: np.ndarray, prior: float
+) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk with the logistic loss, and the slope by the margins that a step goes against.
 
     The risk is ``prior * E+[loss(+)] + max(0, Eu[loss(-)] - prior * E+[loss(-)])``. Where the second part
     turns negative, the step goes against its gradient, so that the network unlearns what it has overfitted.
     """
+    p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+    weight_rest = weight_unlabelled - prior * weight_positive
+    rest = float(weight_rest @ np.logaddexp(0, margin))
+    value = prior * float(weight_positive @ np.logaddexp(0, -margin)) + max(0.0, rest)
+    # by the margin the losses grow with p - 1 as positive, p as negative
+    slope = prior * weight_positive * (p - 1) + weight_rest * p if rest >= 0 else -weight_rest * p
+    return value, slope
+
+
+def gradients(model: Network, x: np.ndarray, hidden: np.ndarray, slope: np.ndarray) -> dict[str, np.ndarray]:
+    """How a risk with these slopes by the margins grows with the network's parameters, with weight decay."""
+    back = np.outer(slope, model.w2) * (1 - hidden**2)
+    return {
+        "w1": x.T @ back + DECAY * model.w1,
+        "b1": back.sum(axis=0),
+        "w2": hidden.T @ slope + DECAY * model.w2,
+        "b2": slope.sum(),
+    }
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Network:
+    """The network that minimises :func:`risk`."""
     both = np.vstack([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
     rng = np.random.default_rng(seed)
@@ -94,21 +119,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     second = {k: 0.0 for k in names}
     for step in range(1, STEPS + 1):
         hidden = np.tanh(x @ model.w1 + model.b1)
-        margin = hidden @ model.w2 + model.b2
-        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        loss_negative = np.logaddexp(0, margin)
-        rest = (weight_unlabelled - prior * weight_positive) @ loss_negative
-        # gradients of the losses by the margin: p - 1 as positive, p as negative
-        slope_rest = (weight_unlabelled - prior * weight_positive) * p
-        slope = prior * weight_positive * (p - 1) + slope_rest if rest >= 0 else -slope_rest
-        back = np.outer(slope, model.w2) * (1 - hidden**2)
-        gradients = {
-            "w1": x.T @ back + DECAY * model.w1,
-            "b1": back.sum(axis=0),
-            "w2": hidden.T @ slope + DECAY * model.w2,
-            "b2": slope.sum(),
-        }
-        for k, g in gradients.items():
+        _, slope = risk(hidden @ model.w2 + model.b2, weight_positive, weight_unlabelled, prior)
+        for k, g in gradients(model, x, hidden, slope).items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g**2
             move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
@@ -116,6 +128,41 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return model
 
 
+def share_of_positives(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of unlabelled values that come from the distribution of the positive ones, from above.
+
+    Above any threshold the unlabelled part is at least the share times the positive part, so the least ratio of the two
+    tails bounds it. A term for the error of both empirical tails keeps thresholds out that few positives reach.
+    """
+    thresholds = np.sort(np.concatenate([positive, unlabelled]))
+    tail_positive = 1 - np.searchsorted(np.sort(positive), thresholds) / len(positive)
+    tail_unlabelled = 1 - np.searchsorted(np.sort(unlabelled), thresholds) / len(unlabelled)
+    error = np.sqrt(np.log(4 / CONFIDENCE) / (2 * len(positive))) + np.sqrt(np.log(4 / CONFIDENCE) / (2 * len(unlabelled)))
+    reached = tail_positive > 0
+    bound = (tail_unlabelled[reached] + error) / tail_positive[reached]
+    best = np.argmin(bound)
+    return float(min(1.0, tail_unlabelled[reached][best] / tail_positive[reached][best]))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, from positive and unlabelled rows alone.
+
+    Networks are fitted to one half of each with the share found so far (first one half); the tails of their margins on
+    the other halves bound the share anew. The mean over both ways is taken, and the whole is done PRIOR_ROUNDS times.
+    """
+    prior = 0.5
+    if min(len(positive), len(unlabelled)) < 4:
+        return prior
+    for _ in range(PRIOR_ROUNDS):
+        found = []
+        for side in (0, 1):
+            model = fit(positive[side::2], unlabelled[side::2], prior)
+            margins = [model.margin(rows[1 - side :: 2]) for rows in (positive, unlabelled)]
+            found.append(share_of_positives(*margins))
+        prior = float(np.clip(np.mean(found), LEAST_PRIOR, 1 - LEAST_PRIOR))
+    return prior
+
+
 def train(
     df: DataFrame,
     labels: DataFrame,
@@ -129,15 +176,13 @@ def train(
 
     ``learn`` is a condition on ``doc_id`` that both the labels and the texts must meet. About ``sample``
     positives and as many unlabelled texts are chosen by a hash of the id; their whole texts are described
-    where they lie, and only features come to the driver. The prior is the share of positives among all
-    labelled rows that may be learnt from. Without any positive text, every text gets the
-    prior as score (one half if that is unknown or certain).
+    where they lie, and only features come to the driver. The prior is estimated from both by :func:`class_prior`;
+    other labels than 1 are not used. Without any positive text, every text gets one half as score.
     """
     ship(df.sparkSession)
     marked = labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     marked = marked.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label"))
-    share = marked.agg(F.avg((F.col("_label") == 1).cast("double")), F.sum((F.col("_label") == 1).cast("long"))).first()
-    prior, positives = (share[0] or 0.5), (share[1] or 0)
+    positives = marked.where(F.col("_label") == 1).count()
     space = 1 << 30
 
     def chosen(column: str, seed: int, total: int) -> Column:
@@ -164,9 +209,12 @@ def train(
     x = np.array([r["x"] for r in found], float).reshape(-1, WIDTH)
     p, u = np.array([r["p"] for r in found], bool), np.array([r["u"] for r in found], bool)
     if not p.any():
-        odds = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
-        return Network(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), odds)
-    return fit(x[p], x[u] if u.any() else x[p], prior)
+        return Network(np.zeros(WIDTH), np.ones(WIDTH), np.zeros((WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0)
+    # in a fixed random order, so that the halves of the prior's estimate are alike
+    mixed = np.random.default_rng(11).permutation(len(x))
+    x, p, u = x[mixed], p[mixed], u[mixed]
+    unlabelled = x[u] if u.any() else x[p]
+    return fit(x[p], unlabelled, class_prior(x[p], unlabelled))
 
 
 def score(df: DataFrame, model: Network, text: str = "text") -> DataFrame:

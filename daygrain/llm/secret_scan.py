@@ -23,6 +23,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # runs of 24 and more, as all shorter runs are dropped
 KINDS = ("assign", "access", "hex", "markov")
 
+LETTERS, DIGITS = re.compile("[A-Za-z]"), re.compile("[0-9]")
+
 # symbols of the Markov models; everything else ends an identifier
 SYMBOLS = string.ascii_letters + string.digits + "+/=_-"
 BREAK = len(SYMBOLS)
@@ -45,6 +47,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def labelled(text: str) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The labelled samples of a text: its random strings, and the spans that are left out of the ordinary ones.
+
+    Random are whole access and hex matches, and of an assignment the value alone, if it has itself LEAST_LENGTH
+    characters and letters as well as digits; overlapping ones count once. Everything else of a match is neither.
+    """
+    spans = base_spans(text)
+    proven = [(a, b) for a, kind, b in spans if kind > 0]
+    for a, kind, b in spans:
+        if kind == 0:
+            value = ASSIGN.match(text, a, b)[2]
+            if len(value) >= LEAST_LENGTH and DIGITS.search(value) and LETTERS.search(value):
+                proven.append((b - len(value), b))
+    samples, end = [], 0
+    for a, b in sorted(proven):
+        if b > end:
+            samples.append(text[max(a, end) : b])
+            end = b
+    return samples, spans
+
+
 def _symbol_table() -> np.ndarray:
     table = np.full(0x110000, BREAK, np.uint8)
     table[[ord(c) for c in SYMBOLS]] = np.arange(BREAK)
@@ -89,9 +112,9 @@ class Runs:
 def train(df: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratio of every step between symbols, random against ordinary.
 
-    The labelled samples are all identifiers of all texts: those in a match of the fixed patterns are random,
-    all others ordinary. Only the counts of steps come to the driver (at most 2 x 68 x 68). A symbol never seen
-    has the even distribution.
+    The labelled samples come from all texts: those of :func:`labelled` are random, identifiers outside all matches of
+    the fixed patterns ordinary. Only the counts of steps come to the driver (at most 2 x 68 x 68). A symbol never
+    seen has the even distribution.
     """
     ship(df.sparkSession)
 
@@ -100,10 +123,12 @@ def train(df: DataFrame, text: str = "text") -> np.ndarray:
         totals = np.zeros(2 * STATES * STATES, np.int64)
         for batch in batches:
             for texts in in_batches([t or "" for t in batch["_text"]]):
+                samples, spans = zip(*map(labelled, texts))
                 runs = Runs(texts, table, 1)
-                label = runs.overlaps([base_spans(t) for t in texts]).astype(np.int64)
-                steps = runs.steps + np.repeat(label, runs.ends - runs.starts) * (STATES * STATES)
-                totals += np.bincount(steps, minlength=len(totals))
+                ordinary = np.repeat(~runs.overlaps(list(spans)), runs.ends - runs.starts)
+                totals += np.bincount(runs.steps[ordinary], minlength=len(totals))
+                found = Runs([x for own in samples for x in own], table, 1)
+                totals += np.bincount(found.steps + STATES * STATES, minlength=len(totals))
         seen = np.flatnonzero(totals)
         yield pd.DataFrame({"step": seen, "n": totals[seen]})
 
@@ -153,6 +178,10 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     A null text counts as empty and has no secrets. Repeated rows and null ids are rows like others. An empty
     input gives an empty result. A column of ``df`` named ``secrets`` is replaced.
     """
+    return _with_spans(df, text, "secrets")
+
+
+def _with_spans(df: DataFrame, text: str, name: str) -> DataFrame:
     ratio = train(df, text)
 
     @F.pandas_udf("array<struct<kind: string, start: int, end: int>>")
@@ -165,14 +194,17 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
                     out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
             yield pd.Series(out, dtype=object)
 
-    return df.withColumn("secrets", run(F.col(text).cast("string")))
+    return df.withColumn(name, run(F.col(text).cast("string")))
 
 
 def redact(df: DataFrame, text: str = "text", marker: str = "[secret]") -> DataFrame:
     """``df`` with every secret of the text replaced by ``marker``; overlapping secrets get one.
 
-    Rows without secrets, null texts among them, are not changed. No row goes.
+    Rows without secrets, null texts among them, are not changed. No row goes, and no other column changes.
     """
+    name = "_spans"
+    while name in df.columns:
+        name += "_"
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, secrets: pd.Series) -> pd.Series:
@@ -189,5 +221,4 @@ def redact(df: DataFrame, text: str = "text", marker: str = "[secret]") -> DataF
             out.append("".join([*parts, body[at:]]))
         return pd.Series(out, dtype=object)
 
-    found = scan(df, text)
-    return found.withColumn(text, cut(F.col(text), F.col("secrets"))).drop("secrets")
+    return _with_spans(df, text, name).withColumn(text, cut(F.col(text), F.col(name))).drop(name)
