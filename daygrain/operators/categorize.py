@@ -28,14 +28,69 @@ def distinct_codes(minutes: DataFrame, code: str = "activity") -> DataFrame:
     return counted.select(known.alias(code))
 
 
-def regex_left_join(codes: DataFrame, patterns: DataFrame, code: str = "activity") -> DataFrame:
+def prefix_range(pattern: str) -> tuple[str, str] | None:
+    """The texts from the first up to the second that begin with a pattern; None if it is more than a prefix.
+
+    A prefix starts with a letter and can end with a range of digits, as in ``t010[2-9].*``.
+    """
+    found = re.fullmatch(r"([A-Za-z][A-Za-z0-9]*)(?:\[([0-9])-([0-9])\])?(?:\.\*)?", pattern)
+    if found is None:
+        return None
+    stem, first, last = found.groups()
+    if first is None:
+        return stem, stem[:-1] + chr(ord(stem[-1]) + 1)
+    return stem + first, stem + chr(ord(last) + 1)
+
+
+def by_prefix(code: Column, patterns: Sequence[str], answer, otherwise: Column) -> Column | None:
+    """``answer`` of the positions of all patterns that a code contains, found by a search among sorted bounds.
+
+    The patterns' prefixes cut all codes into ranges with the same answer, between which a balanced tree of comparisons
+    decides. A code that does not begin with the patterns' letter, or has it twice, is left to ``otherwise``, as a
+    pattern may lie inside. None if a pattern is no prefix, or if their first letters differ.
+    """
+    ranges = [prefix_range(p) for p in patterns]
+    letters = {p[:1] for p in patterns}
+    if None in ranges or len(letters) != 1 or any(letters & set(p[1:]) for p in patterns):
+        return None
+    bounds: list[str] = []
+    hits: list[tuple[int, ...]] = [()]
+    for bound in sorted({b for r in ranges for b in r}):
+        held = tuple(i for i, (low, high) in enumerate(ranges) if low <= bound < high)
+        if held != hits[-1]:
+            bounds.append(bound)
+            hits.append(held)
+
+    def between(first: int, last: int) -> Column:
+        if first == last:
+            return answer(hits[first])
+        middle = (first + last) // 2
+        return F.when(code < bounds[middle], between(first, middle)).otherwise(between(middle + 1, last))
+
+    letter = letters.pop()
+    plain = code.startswith(letter) & (F.locate(letter, code, 2) == 0)
+    return F.when(plain, between(0, len(hits) - 1)).otherwise(otherwise)
+
+
+def regex_left_join(
+    codes: DataFrame, patterns: DataFrame | Sequence[tuple[str, str]], code: str = "activity"
+) -> DataFrame:
     """Every pattern that a code contains; a code without a match keeps a NULL description.
 
-    ``codes`` must be a small table with one row per code and ``patterns`` a fixed lookup: the
-    match is a theta join. Facts are labelled by a ``Labelling`` instead.
+    Pairs ``(pattern, description)`` are searched as prefixes where they are such, and tested one by one elsewhere. A
+    DataFrame of patterns must be a fixed lookup, and ``codes`` a small table with one row per code: the match is then a
+    theta join. Facts are labelled by a ``Labelling`` instead.
     """
-    hit = F.expr(f"{code} rlike pattern")
-    return codes.join(F.broadcast(patterns), hit, "left")
+    if isinstance(patterns, DataFrame):
+        return codes.join(F.broadcast(patterns), F.expr(f"{code} rlike pattern"), "left")
+    entries = [F.struct(F.lit(p).alias("pattern"), F.lit(d).alias("description")) for p, d in patterns]
+    kind = "array<struct<pattern: string, description: string>>"
+    tested = [F.when(F.col(code).rlike(p), entry) for (p, _), entry in zip(patterns, entries)]
+    one_by_one = F.array_compact(F.array(*tested)).cast(kind)
+    found = by_prefix(
+        F.col(code), [p for p, _ in patterns], lambda hits: F.array(*[entries[i] for i in hits]).cast(kind), one_by_one
+    )
+    return codes.select("*", F.inline_outer(one_by_one if found is None else found))
 
 
 def pattern_hit(code: Column, pattern: str) -> Column:
@@ -48,8 +103,8 @@ def pattern_hit(code: Column, pattern: str) -> Column:
 class Labelling:
     """A closed list of labels that code patterns give; the first matching pattern counts.
 
-    The label is an expression over the code, so a fact is labelled while it is scanned.
-    With ``unmapped`` the codes no pattern matches form a label of their own, NULL.
+    The label is an expression over the code, so a fact is labelled while it is scanned: a search among the
+    prefixes that the patterns are, and a test of one pattern after the other where they are no prefixes. With ``unmapped`` the codes no pattern matches form a label of their own, NULL.
     """
 
     patterns: tuple[tuple[str, str], ...] = lookups.CATEGORIES_V1
@@ -60,27 +115,30 @@ class Labelling:
         named = tuple(dict.fromkeys(d for _, d in self.patterns))
         return named + ((None,) if self.unmapped else ())
 
-    def _first_match(self, code: Column, value) -> Column:
+    def _first_match(self, code: Column, value, none: Column) -> Column:
         out = None
         for pattern, description in self.patterns:
             hit = pattern_hit(code, pattern)
             out = F.when(hit, value(description)) if out is None else out.when(hit, value(description))
-        return out
+        out = none if out is None else out.otherwise(none)
+        first = lambda hits: value(self.patterns[hits[0]][1]) if hits else none
+        found = by_prefix(code, [p for p, _ in self.patterns], first, out)
+        return out if found is None else found
 
     def description(self, code: Column) -> Column:
-        return self._first_match(code, F.lit)
+        return self._first_match(code, F.lit, F.lit(None).cast("string"))
 
     def slot(self, code: Column) -> Column:
         """0-based position of the label; codes outside all labels have none."""
         labels = self.labels
-        found = self._first_match(code, lambda d: F.lit(labels.index(d)))
-        return found.otherwise(F.lit(labels.index(None))) if self.unmapped else found
+        none = F.lit(labels.index(None) if self.unmapped else None).cast("int")
+        return self._first_match(code, lambda d: F.lit(labels.index(d)), none)
 
     def among(self, code: Column, wanted: str) -> Column:
         """Whether the code's label contains a regular expression, case-sensitively.
 
-        Neighbouring patterns with the same answer form one alternation, so a filter tests a
-        code against a few expressions and not against the whole list.
+        Prefixes are searched as for the label. Otherwise neighbouring patterns with the same answer form one
+        alternation, so a filter tests a code against a few expressions and not against the whole list.
         """
         blocks = [
             (answer, "|".join(pattern for pattern, _ in run))
@@ -92,7 +150,11 @@ class Labelling:
         for answer, pattern in blocks:
             hit = code.rlike(pattern)
             out = F.when(hit, answer) if out is None else out.when(hit, answer)
-        return F.lit(False) if out is None else out.otherwise(False)
+        out = F.lit(False) if out is None else out.otherwise(False)
+        wants = [re.search(wanted, d) is not None for _, d in self.patterns]
+        first = lambda hits: F.lit(bool(hits) and wants[hits[0]])
+        found = by_prefix(code, [p for p, _ in self.patterns], first, out)
+        return out if found is None else found
 
 
 CURATED = Labelling(lookups.CATEGORIES_V1)
@@ -150,7 +212,7 @@ def without_nec(description: Column) -> Column:
 
 
 def code_catalogue(
-    estimates: DataFrame, patterns: DataFrame, names: DataFrame, tier1: DataFrame
+    estimates: DataFrame, patterns: DataFrame | Sequence[tuple[str, str]], names: DataFrame, tier1: DataFrame
 ) -> DataFrame:
     """Code, official name, tier-1 name and category with the overall averages.
 
