@@ -2,8 +2,9 @@
 
 A spell has ``case_id, ordinal, start_min, end_min, description`` with minutes counted from
 4 am. Both rules shrink on the map side to a fixed number of cells per case, so neither a
-long diary nor a hot case travels whole to one task. For the same reason the selection of
-``cases`` is applied to the cells and not to the spells.
+long diary nor a hot case travels whole to one task. A selection of ``cases`` drops spells of
+other cases before they expand by a filter of bounded size, where they lie; the exact semi
+join then has the cells only.
 
 The winner of a cell is found with a minimum or maximum over one packed integer: the
 ranking value in the high bits, the position of the description in a short label list in
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daygrain.functions import clock
+from daygrain.operators.prefilter import possibly_in
 
 WEEKDAYS = (2, 3, 4, 5, 6)  # 1 is Sunday
 WEEKEND = (1, 7)
@@ -74,6 +76,22 @@ def _label_list(spells: DataFrame, labels: Sequence[str] | Column | None) -> Col
     return F.array(*[F.lit(x) for x in labels])
 
 
+def _numbered(spells: DataFrame, listed: Column) -> DataFrame:
+    """The spells with ``label``: the 1-based position of the description, 0 if it is missing.
+
+    The positions are looked up in a table by hash, which has fewer rows than ``LABEL_SPACE``; a description that is not
+    in the list is an error.
+    """
+    one = spells.sparkSession.range(1).select(listed.alias("listed"))
+    # a label that is listed twice has its first position
+    numbers = one.select(F.posexplode("listed").alias("place", "description"))
+    numbers = numbers.groupBy("description").agg((F.min("place") + 1).cast("long").alias("label"))
+    unknown = F.raise_error(F.concat(F.lit("description not in the label list: "), F.col("description"))).cast("long")
+    label = F.when(F.col("description").isNull(), F.lit(0).cast("long")).when(F.col("label").isNull(), unknown)
+    named = spells.join(F.broadcast(numbers), "description", "left")
+    return named.withColumn("label", label.otherwise(F.col("label")))
+
+
 def described(df: DataFrame, column: str) -> Column:
     """All values of a category column as a sorted array subquery.
 
@@ -88,15 +106,8 @@ def _only(df: DataFrame, cases: DataFrame | None) -> DataFrame:
     return df if cases is None else df.join(cases.select("case_id"), "case_id", "left_semi")
 
 
-def _position(description: Column, labels: Column) -> Column:
-    """1-based position in the list, 0 for a missing description."""
-    at = F.array_position(labels, description)
-    unknown = F.raise_error(F.concat(F.lit("description not in the label list: "), description))
-    return (
-        F.when(description.isNull(), F.lit(0).cast("long"))
-        .when(at > 0, at)
-        .otherwise(unknown.cast("long"))
-    )
+def _perhaps(spells: DataFrame, cases: DataFrame | None) -> DataFrame:
+    return spells if cases is None else possibly_in(spells, cases, ["case_id"])
 
 
 def _label(packed: Column, labels: Column) -> Column:
@@ -117,12 +128,8 @@ def _slots_by_period(spells: DataFrame, labels: Column) -> DataFrame:
     start, end = F.col("start_min"), F.col("end_min")
     periods = F.sequence(clock.whole(start, PERIOD), clock.whole(end, PERIOD))
     touched = (
-        spells.select(
-            "case_id",
-            "start_min",
-            "end_min",
-            (F.col("ordinal") * LABEL_SPACE + _position(F.col("description"), labels)).alias("packed"),
-        )
+        _numbered(spells, labels)
+        .select("case_id", "start_min", "end_min", (F.col("ordinal") * LABEL_SPACE + F.col("label")).alias("packed"))
         .select("case_id", "start_min", "end_min", "packed", F.explode(periods).alias("k"))
     )
     winners = []
@@ -141,7 +148,7 @@ def five_minute_slots(
     listed = _label_list(spells, labels)
     slots = F.array(*[f"s{i}" for i in range(SLOTS_PER_PERIOD)])
     return (
-        _only(_slots_by_period(spells, listed), cases)
+        _only(_slots_by_period(_perhaps(spells, cases), listed), cases)
         .select("case_id", "k", F.posexplode(slots).alias("i", "packed"))
         .filter("packed is not null")
         .select(
@@ -190,7 +197,7 @@ def five_minute_sequence(
     listed = _label_list(spells, labels)
     names = [f"s{i}" for i in range(SLOTS_PER_PERIOD)]
     sequence = (
-        _slots_by_period(spells, listed)
+        _slots_by_period(_perhaps(spells, cases), listed)
         .withColumns({s: F.col(s) % LABEL_SPACE for s in names})
         .filter(" or ".join(f"{s} > 0" for s in names))
         .select(
@@ -230,12 +237,12 @@ def one_minute_sequence(
     listed = _label_list(spells, labels)
     start, end, k = F.col("start_min"), F.col("end_min"), F.col("k")
     covered = (
-        spells.filter(start < end)
+        _numbered(_perhaps(spells, cases).filter(start < end), listed)
         .select(
             "case_id",
             "start_min",
             "end_min",
-            _position(F.col("description"), listed).alias("id"),
+            F.col("label").alias("id"),
             F.explode(F.sequence(clock.whole(start, PERIOD), clock.whole(end - 1, PERIOD))).alias("k"),
         )
         .withColumn("first", F.greatest(start, k * PERIOD))
