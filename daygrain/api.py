@@ -1,7 +1,7 @@
 """Estimates straight from the wide summary file.
 
 One row per respondent with ``TUCASEID``, a weight column and one ``tNNNNNN`` column of
-minutes per activity code. Everything a person contributes is in one row, so the only
+minutes per activity code, or a ``WideTable`` with these columns as one array. Everything a person contributes is in one row, so the only
 shuffle is the final one over groups x activities.
 """
 
@@ -15,18 +15,39 @@ from pyspark.sql import functions as F
 
 from daygrain.operators import estimates, variance
 from daygrain.operators.categorize import label_header, unique_mapping
-from daygrain.operators.reshape import activity_cells, activity_names, columns_matching, unpivot_activities
+from daygrain.operators.reshape import (
+    WideTable,
+    activity_names,
+    columns_matching,
+    complete,
+    gathered,
+    numbers,
+    unpivot_cells,
+)
 from daygrain.sources.readers import ID_COLUMN, weight_column, without_missing
 
+CELLS = "_cells"
 
-def _row_minutes(codes: Sequence[str]) -> Column:
-    return F.aggregate(activity_cells(codes), F.lit(0.0), lambda total, x: total + x)
 
+def _totals(codes: Sequence[str], labels: Sequence[Sequence[str]]) -> Column:
+    """The minutes of a row by label, each a list of codes, as an array; a missing value is an error."""
+    cells, place = F.col(CELLS), {code: i for i, code in enumerate(codes)}
 
-def _check(df: DataFrame, groups, activities, simplify) -> tuple[str, list[str], list[str]]:
-    weight, groups = weight_column(df), estimates.group_list(groups)
-    codes = list(dict.fromkeys(activities)) if activities is not None else columns_matching(df)
-    missing = [c for c in [*groups, *codes] if c not in df.columns]
+    def total(places: Column) -> Column:
+        return F.aggregate(places, F.lit(0.0), lambda sum_, i: sum_ + F.get(cells, i))
+
+    listed = F.array(*[numbers(place[c] for c in own) for own in labels])
+    return F.transform(listed, lambda places: complete(total(places), cells, codes))
+
+
+def _check(df: DataFrame | WideTable, groups, activities, simplify) -> tuple[DataFrame, str, list[str], list[str]]:
+    """The rows with the chosen minutes as the array ``CELLS``, the weight column, the groups and the codes."""
+    data = df.data if isinstance(df, WideTable) else df
+    listed = df.codes if isinstance(df, WideTable) else columns_matching(df)
+    weight, groups = weight_column(data), estimates.group_list(groups)
+    codes = list(dict.fromkeys(activities)) if activities is not None else list(listed)
+    known = listed if isinstance(df, WideTable) else df.columns
+    missing = [*(c for c in groups if c not in data.columns), *(c for c in codes if c not in known)]
     if missing:
         raise ValueError(f"data has no column {', '.join(missing)}")
     if not codes:
@@ -36,15 +57,17 @@ def _check(df: DataFrame, groups, activities, simplify) -> tuple[str, list[str],
             raise ValueError("simplify must have the columns 'activity' and 'description'")
     elif simplify not in (None, True, False) and not all(len(pair) == 2 for pair in simplify):
         raise ValueError("simplify must be True, (activity, description) pairs or a DataFrame")
-    return weight, groups, codes
+    cells = df.chosen(codes) if isinstance(df, WideTable) else gathered(codes)
+    rows = without_missing(data, [weight]).select(ID_COLUMN, weight, *groups, cells.alias(CELLS))
+    return rows, weight, groups, codes
 
 
-def _cells(df, weight, groups, by_label: dict[str | None, list[str]]) -> DataFrame:
+def _cells(df, weight, groups, codes, by_label: dict[str | None, list[str]]) -> DataFrame:
     """Weighted sums per (label, group); every person has a row for every label, zeros included."""
-    minutes = F.array(*[_row_minutes(codes) for codes in by_label.values()])
+    totals = _totals(codes, list(by_label.values()))
     labels = F.array(*[F.lit(label).cast("string") for label in by_label])
     people = df.select(
-        *groups, F.col(weight).alias("weight"), F.posexplode(minutes).alias("_place", "minutes")
+        *groups, F.col(weight).alias("weight"), F.posexplode(totals).alias("_place", "minutes")
     ).withColumn("activity", F.get(labels, F.col("_place")))
     return people.groupBy("activity", *groups).agg(
         F.sum("weight").alias("total_weight"),
@@ -65,22 +88,21 @@ def _by_pairs(pairs, codes) -> dict[str | None, list[str]]:
     return out
 
 
-def get_min_per_part(df: DataFrame, groups=None, activities=None, simplify=None) -> DataFrame:
+def get_min_per_part(df: DataFrame | WideTable, groups=None, activities=None, simplify=None) -> DataFrame:
     """Weighted minutes, participation rate and minutes per participant.
 
     ``simplify`` collapses activities: ``True`` to a single row, ``(activity, description)``
     pairs or a DataFrame of them to the descriptions.
     """
-    weight, groups, codes = _check(df, groups, activities, simplify)
-    df = without_missing(df, [weight])
+    df, weight, groups, codes = _check(df, groups, activities, simplify)
     if simplify is True:
-        cells = _cells(df, weight, groups, {estimates.COLLAPSED_LABEL: codes})
+        cells = _cells(df, weight, groups, codes, {estimates.COLLAPSED_LABEL: codes})
         return estimates.metrics_from_cells(cells, groups)
     if simplify is not None and simplify is not False and not isinstance(simplify, DataFrame):
-        cells = _cells(df, weight, groups, _by_pairs(list(simplify), codes))
+        cells = _cells(df, weight, groups, codes, _by_pairs(list(simplify), codes))
         return estimates.metrics_from_cells(cells, groups)
-    people = df.select(ID_COLUMN, F.col(weight).alias("weight"), *groups, *codes)
-    fact = unpivot_activities(people, [ID_COLUMN, "weight", *groups], codes, complete=True)
+    people = df.select(ID_COLUMN, F.col(weight).alias("weight"), *groups, CELLS)
+    fact = unpivot_cells(people, [ID_COLUMN, "weight", *groups], F.col(CELLS), codes, check=True)
     listed = activity_names(codes)
     if isinstance(simplify, DataFrame):
         mapping = unique_mapping(simplify).filter(F.col("activity").isin(codes))
@@ -99,51 +121,52 @@ def get_min_per_part(df: DataFrame, groups=None, activities=None, simplify=None)
     return estimates.metrics_from_cells(estimates.cells_from_rows(fact, totals, groups, listed), groups)
 
 
-def get_minutes(df: DataFrame, groups=None, activities=None, simplify=None) -> DataFrame:
+def get_minutes(df: DataFrame | WideTable, groups=None, activities=None, simplify=None) -> DataFrame:
     """Weighted mean minutes per day by activity and group."""
     out = get_min_per_part(df, groups, activities, simplify)
     return out.select("activity", *estimates.group_list(groups), "weighted_minutes")
 
 
-def get_participation(df: DataFrame, groups=None, activities=None, simplify=None) -> DataFrame:
+def get_participation(df: DataFrame | WideTable, groups=None, activities=None, simplify=None) -> DataFrame:
     """Weighted share of people who spent any time in the activity."""
     out = get_min_per_part(df, groups, activities, simplify)
     return out.select("activity", *estimates.group_list(groups), "participation_rate")
 
 
-def apply_weights(df: DataFrame, groups, activities=None) -> DataFrame:
+def apply_weights(df: DataFrame | WideTable, groups, activities=None) -> DataFrame:
     warnings.warn("apply_weights is deprecated, use get_minutes", DeprecationWarning, stacklevel=2)
     return get_minutes(df, groups, activities)
 
 
-def get_SE(df: DataFrame, replicate_weights: DataFrame, groups, activities=None) -> DataFrame:
+def get_SE(df: DataFrame | WideTable, replicate_weights: DataFrame, groups, activities=None) -> DataFrame:
     """Weighted minutes over the activities with their replicate-weight standard error.
 
     ``replicate_weights`` holds ``TUCASEID`` and one column per replicate. Rows meet by
     case, so ``df`` may be filtered or in any order.
     """
-    weight, groups, codes = _check(df, groups, activities, True)
-    df = without_missing(df, [weight])
+    df, weight, groups, codes = _check(df, groups, activities, True)
     people = df.select(
         F.col(ID_COLUMN).alias("case_id"),
         F.col(weight).cast("double").alias("weight"),
         *groups,
-        _row_minutes(codes).alias("minutes"),
+        F.get(_totals(codes, [codes]), F.lit(0)).alias("minutes"),
     )
     replicates = [F.col(c).cast("double") for c in replicate_weights.columns if c != ID_COLUMN]
     weights = replicate_weights.select(
         F.col(ID_COLUMN).alias("case_id"), F.array(*replicates).alias("weights")
     )
-    return variance.replicate_se(people, weights, groups)
+    return variance.replicate_se(people, weights, groups, len(replicates))
 
 
-def add_work_status(df: DataFrame, threshold: float = 120, code: str = "t05") -> DataFrame:
+def add_work_status(df: DataFrame | WideTable, threshold: float = 120, code: str = "t05") -> DataFrame:
     """Flag rows whose minutes in the columns containing ``code`` reach the threshold."""
-    codes = columns_matching(df, code)
-    return df.withColumn("work_status", _row_minutes(codes) >= threshold)
+    wide = isinstance(df, WideTable)
+    codes = [c for c in df.codes if code in c] if wide else columns_matching(df, code)
+    data, cells = (df.data, df.chosen(codes)) if wide else (df, gathered(codes))
+    return data.withColumn("work_status", F.aggregate(cells, F.lit(0.0), lambda total, x: total + x) >= threshold)
 
 
-def descriptions(df: DataFrame, patterns=None) -> list[tuple[str, str | None]]:
+def descriptions(df: DataFrame | WideTable, patterns=None) -> list[tuple[str, str | None]]:
     """(activity, category) of every activity column, from the header alone."""
-    names = columns_matching(df)
+    names = df.codes if isinstance(df, WideTable) else columns_matching(df)
     return label_header(names) if patterns is None else label_header(names, patterns)

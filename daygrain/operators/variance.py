@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daygrain.functions.numeric import ratio
@@ -19,46 +21,46 @@ def person_minutes(minutes: DataFrame, activities=None) -> DataFrame:
     return _restrict(minutes, activities).groupBy("case_id").agg(F.sum("minutes").alias("minutes"))
 
 
-def replicate_se(people: DataFrame, replicate_weights: DataFrame, groups: Sequence[str]) -> DataFrame:
+def replicate_se(
+    people: DataFrame, replicate_weights: DataFrame, groups: Sequence[str], replicates: int | None = None
+) -> DataFrame:
     """Standard error of the weighted mean of ``minutes`` per group.
 
     ``people`` holds ``case_id, weight, minutes`` and the groups, ``replicate_weights``
     ``case_id, weights`` with the replicates as an array. A respondent without replicate
-    weights is an error, as the base estimate would change without them.
+    weights is an error, as the base estimate would change without them, and so is one with
+    another number of them than ``replicates``, by default that of the first row.
 
-    Replicates meet their respondent by case id, and the base weight travels as replicate 0,
-    so one aggregation serves all of them: map-side combining leaves groups x replicates
-    rows for the shuffle.
+    Replicates meet their respondent by case id and are summed as vectors, the base weight first, so a person stays one
+    row and the shuffle has one row of sums per group and task. A missing weight in an array is an error.
     """
     groups = list(groups)
+    if replicates is None:
+        first = replicate_weights.select(F.size("weights").alias("n")).first()
+        replicates = first["n"] if first else 0
     # one array per respondent is far too much to broadcast, whatever its file size suggests
     joined = people.join(replicate_weights.hint("merge"), "case_id", "left")
-    missing = F.raise_error(F.concat(F.lit("no replicate weights for case "), F.col("case_id").cast("string")))
-    weights = F.when(F.col("weights").isNull(), missing.cast("array<double>")).otherwise(F.col("weights"))
-    numbered = F.posexplode(F.concat(F.array(F.col("weight")), weights))
-    exploded = joined.select(*groups, "minutes", numbered.alias("replicate", "w"))
-    theta = (
-        exploded.groupBy(*groups, "replicate")
-        .agg(F.sum(F.col("w") * F.col("minutes")).alias("wm"), F.sum("w").alias("w"))
-        .withColumn("theta", ratio(F.col("wm"), F.col("w")))
-    )
-    # at most one row per replicate and group from here on
-    base = F.max(F.when(F.col("replicate") == 0, F.col("theta"))).over(Window.partitionBy(*groups))
-    return (
-        theta.withColumn("weighted_minutes", base)
-        .filter(F.col("replicate") > 0)
-        .groupBy(*groups)
-        .agg(
-            F.first("weighted_minutes").alias("weighted_minutes"),
-            F.sum(F.pow(F.col("theta") - F.col("weighted_minutes"), 2)).alias("squares"),
-            F.count(F.lit(1)).alias("replicates"),
-        )
-        .select(
-            F.lit(COLLAPSED_LABEL).alias("activity"),
-            *groups,
-            "weighted_minutes",
-            F.sqrt(F.lit(VARIANCE_FACTOR) / F.col("replicates") * F.col("squares")).alias("se"),
-        )
+    found = F.coalesce(F.size("weights"), F.lit(0))
+    case = F.col("case_id").cast("string")
+    none = F.raise_error(F.concat(F.lit("no replicate weights for case "), case)).cast("array<double>")
+    other = F.raise_error(F.concat(found.cast("string"), F.lit(" replicate weights for case "), case)).cast("array<double>")
+    weights = F.when(F.col("weights").isNull(), none).when(found != replicates, other).otherwise(F.col("weights"))
+    series = F.concat(F.array(F.col("weight").cast("double")), weights)
+    rows = joined.select(*groups, array_to_vector(series).alias("w"), F.coalesce("minutes", F.lit(0.0)).alias("minutes"))
+    # a vector's factor must be above zero for some row of a group: one more minute each, which is taken off again
+    more = Summarizer.sum(F.col("w"), F.col("minutes") + 1)
+    sums = rows.groupBy(*groups).agg(more.alias("more"), Summarizer.sum(F.col("w")).alias("w"))
+    # one row per group from here on
+    theta = F.zip_with(vector_to_array("more"), vector_to_array("w"), lambda more, w: ratio(more - w, w))
+    estimates = sums.select(*groups, theta.alias("theta")).withColumn("weighted_minutes", F.get("theta", F.lit(0)))
+    apart = F.transform(F.slice("theta", 2, max(replicates, 1)), lambda x: F.pow(x - F.col("weighted_minutes"), 2))
+    squares = F.array_compact(apart)
+    total = F.when(F.size(squares) > 0, F.aggregate(squares, F.lit(0.0), lambda sum_, x: sum_ + x))
+    return estimates.select(
+        F.lit(COLLAPSED_LABEL).alias("activity"),
+        *groups,
+        "weighted_minutes",
+        F.sqrt(F.lit(VARIANCE_FACTOR / max(replicates, 1)) * total).alias("se"),
     )
 
 
@@ -68,6 +70,7 @@ def standard_errors(
     replicate_weights: DataFrame,
     groups: Sequence[str],
     activities=None,
+    replicates: int | None = None,
 ) -> DataFrame:
     """Weighted minutes over the chosen activities with their standard error."""
     totals = person_minutes(minutes, activities)
@@ -76,7 +79,7 @@ def standard_errors(
         .join(totals, "case_id", "left")
         .withColumn("minutes", F.coalesce(F.col("minutes"), F.lit(0.0)))
     )
-    return replicate_se(people, replicate_weights, groups)
+    return replicate_se(people, replicate_weights, groups, replicates)
 
 
 def with_band(df: DataFrame, factor: float = 2.0) -> DataFrame:

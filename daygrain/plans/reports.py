@@ -143,6 +143,7 @@ def tv_standard_errors(s: Survey) -> DataFrame:
         s.replicate_weights,
         ["age", "sex"],
         lookups.TV_CODES,
+        s.replicates,
     )
     return variance.with_band(est).withColumn("sex", labels.sex_label(F.col("sex")))
 
@@ -230,7 +231,7 @@ def grocery_by_sex_age(s: Survey) -> DataFrame:
 def leisure_standard_errors(s: Survey) -> DataFrame:
     codes = categorize.codes_named(s.names(), "leisure")
     est = variance.standard_errors(
-        s.respondents, s.minutes, s.replicate_weights, ["year"], codes
+        s.respondents, s.minutes, s.replicate_weights, ["year"], codes, s.replicates
     )
     return variance.with_band(est)
 
@@ -459,7 +460,7 @@ def code_catalogue(s: Survey) -> DataFrame:
     est = per_participant(s.respondents, s.minutes, unique_minutes=s.unique_minutes, codes=s.codes)
     return categorize.code_catalogue(
         est,
-        lookups.category_patterns(s.minutes.sparkSession, lookups.CATEGORIES_V2),
+        lookups.CATEGORIES_V2,
         s.names(),
         lookups.tier1_names(s.minutes.sparkSession),
     )

@@ -7,12 +7,14 @@ code ``010101`` into a number and break every lookup.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daygrain.operators.reshape import ACTIVITY_COLUMN, WideTable, numbers
+
 ID_COLUMN = "TUCASEID"
 
 # fixed values: weight column of the multi-year and of the single-year file
@@ -65,15 +67,54 @@ def read_table(
     )
 
 
-def read_directory(spark: SparkSession, folder: str, suffix: str = ".dat", sep: str = ",") -> dict[str, DataFrame]:
-    """Every file of a folder as a table and temporary view named after the file."""
+def read_wide_table(spark: SparkSession, path: str, sep: str = ",") -> WideTable:
+    """A wide delimited file with its activity columns as one array, straight from the lines of text.
+
+    The header gives the place of every column. Other columns have the types of ``column_type`` and are NULL where the
+    file has ``NA`` or nothing; an activity cell that is no number counts as missing, which the estimates refuse. A line
+    with quotes or with another number of values than the header is an error.
+    """
+    names = _header(spark, path, sep, '"')
+    codes = tuple(n for n in names if re.search(ACTIVITY_COLUMN, n))
+    if not codes:
+        raise ValueError("a wide table needs activity columns")
+    blank = "[ \\t]*"
+    # every file of a folder starts with the header
+    header = F.regexp_replace("value", f"{blank}{re.escape(sep)}{blank}", sep) == F.lit(sep.join(names))
+    lines = spark.read.text(path).select(F.trim("value").alias("value"))
+    # NULL for all that is no row, as expressions may be evaluated before a filter
+    line = F.when((F.col("value") != "") & ~header, F.col("value"))
+    fields = F.split(line, f"{blank}{re.escape(sep)}{blank}", -1)
+    wrong = line.isNotNull() & ((F.size(fields) != len(names)) | F.contains(line, F.lit('"')))
+    fails = F.raise_error(F.concat(F.lit(f"not {len(names)} plain values: "), line)).cast("array<string>")
+    rows = lines.select(F.when(wrong, fails).otherwise(fields).alias("fields")).filter("fields is not null")
+    place = {name: i for i, name in enumerate(names)}
+
+    def typed(name: str) -> Column:
+        text = F.get("fields", F.lit(place[name]))
+        return F.when(~text.isin("", "NA"), text).cast(column_type(name)).alias(name)
+
+    others = [n for n in names if n not in codes]
+    first, last = place[codes[0]], place[codes[-1]]
+    if last - first + 1 == len(codes):
+        cells = F.slice("fields", first + 1, len(codes))
+    else:
+        cells = F.transform(numbers(place[c] for c in codes), lambda i: F.get("fields", i))
+    return WideTable(rows.select(*map(typed, others), cells.try_cast("array<double>").alias("cells")), codes)
+
+
+def read_directory(
+    spark: SparkSession, folder: str, suffix: str = ".dat", sep: str = ",", wide: Sequence[str] = ()
+) -> dict[str, DataFrame | WideTable]:
+    """Every file of a folder as a table and temporary view named after the file; those in ``wide`` as wide tables."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
     out = {}
     # only the names of the files are read here
     for path in sorted(row.path for row in listing.select("path").collect()):
         table = path.rsplit("/", 1)[-1][: -len(suffix)]
-        out[table] = read_table(spark, path, sep)
-        out[table].createOrReplaceTempView(table)
+        out[table] = read_wide_table(spark, path, sep) if table in wide else read_table(spark, path, sep)
+        view = out[table].data if table in wide else out[table]
+        view.createOrReplaceTempView(table)
     return out
 
 

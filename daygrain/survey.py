@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daygrain import lookups
 from daygrain.operators.breakdowns import one_per_case
 from daygrain.operators.categorize import CURATED_V2, Labelling, unique_mapping
-from daygrain.operators.reshape import columns_matching, unpivot_activities
+from daygrain.operators.reshape import WideTable, columns_matching, gathered, unpivot_cells
 from daygrain.sources.readers import weight_column, without_missing
 
 
@@ -33,7 +33,7 @@ class Survey:
     minutes            case_id, activity, minutes (positive only)
     roster             case_id, line, marital, race_code, educ_code, state_fips,
                        income_code, income_code_alt
-    replicate_weights  case_id, weights (array)
+    replicate_weights  case_id, weights (array of ``replicates`` numbers)
     spells             case_id, ordinal, start_clock, stop_clock, description
     diary_days         case_id, diary_day, holiday and further respondent columns
     case_states        case_id, state_id
@@ -52,6 +52,7 @@ class Survey:
     state_names: DataFrame | None = None
     activity_names: DataFrame | None = None
     codes: DataFrame | None = None
+    replicates: int | None = None
     work_day_minutes: float = 120
     diary_labels: tuple[str, ...] | Column | None = None
     diary_columns: tuple[str, ...] = ()
@@ -75,7 +76,7 @@ class Survey:
     @classmethod
     def from_tables(
         cls,
-        summary: DataFrame,
+        summary: DataFrame | WideTable,
         activity: DataFrame | None = None,
         respondent: DataFrame | None = None,
         household: DataFrame | None = None,
@@ -84,6 +85,11 @@ class Survey:
         categories: Labelling = CURATED_V2,
     ) -> "Survey":
         """Build the canonical frames from the survey's published files."""
+        if not isinstance(summary, WideTable):
+            codes = tuple(columns_matching(summary))
+            rest = [c for c in summary.columns if c not in codes]
+            summary = WideTable(summary.select(*rest, gathered(codes).alias("cells")), codes)
+        wide, summary = summary, summary.data
         spark = summary.sparkSession
         weight = weight_column(summary)
         summary = without_missing(summary, [weight])
@@ -94,10 +100,9 @@ class Survey:
             F.col(weight).alias("weight"),
             *[F.col(c).alias(name) for c, name in RESPONDENT_COLUMNS.items() if c in summary.columns],
         )
-        out.codes = spark.createDataFrame([(c,) for c in columns_matching(summary)], "activity string")
-        out.minutes = unpivot_activities(
-            summary.withColumnRenamed("TUCASEID", "case_id"), ["case_id"], columns_matching(summary), complete=True
-        )
+        out.codes = spark.createDataFrame([(c,) for c in wide.codes], "activity string")
+        cases = summary.select(F.col("TUCASEID").alias("case_id"), wide.cells)
+        out.minutes = unpivot_cells(cases, ["case_id"], F.col(wide.cells), wide.codes, check=True)
         if activity_names is not None:
             out.activity_names = activity_names.select(
                 F.col("Code").alias("code"), F.col("Description").alias("description")
@@ -124,6 +129,7 @@ class Survey:
             )
         if replicate_weights is not None:
             replicates = [c for c in replicate_weights.columns if c != "TUCASEID"]
+            out.replicates = len(replicates)
             out.replicate_weights = replicate_weights.select(
                 F.col("TUCASEID").alias("case_id"),
                 F.array(*[F.col(c).cast("double") for c in replicates]).alias("weights"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from daygrain.testbed import tables
 
 PLACES = 6
 
-# the wide form has a column for every code, as the summary file does
+# the wide form has the minutes of every code, as the summary file does
 WIDE_CODES = tuple(f"t{code}" for code in tables.CODES)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,27 +85,34 @@ def _per_participant_by_sex(s):
     return out.withColumn("sex", labels.sex_label(F.col("sex")))
 
 
-def _wide_form(s):
-    """One row per respondent with a column per code, as the summary file has it."""
+def _wide_form(s) -> reshape.WideTable:
+    """One row per respondent with the minutes of every code in one array, as a wide file is read."""
+    part = lambda at: F.substring("activity", at, 2).cast("int")
+    # the place of a code in WIDE_CODES
+    place = (F.when(part(2) == 18, 15).otherwise(part(2) - 1) * 9 + part(4) - 1) * 7 + part(6) - 1
     per_code = s.minutes.groupBy("case_id", "activity").agg(F.sum("minutes").alias("minutes"))
-    spent = per_code.groupBy("case_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("activity", "minutes"))).alias("spent")
-    )
+    spent = per_code.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "minutes"))).alias("spent"))
     people = s.respondents.select("case_id", "weight", "sex", "year").join(spent, "case_id", "left")
-    codes = reshape.activity_names(WIDE_CODES)
-    minutes = F.transform(codes, lambda c: F.coalesce(F.try_element_at("spent", c), F.lit(0.0)))
-    return people.select("*", minutes.alias("minutes")).select(
-        "case_id", "weight", "sex", "year", *[F.get("minutes", F.lit(i)).alias(c) for i, c in enumerate(WIDE_CODES)]
+
+    def idle(minutes, end):
+        return F.concat(minutes, F.array_repeat(F.lit(0.0), end - F.size(minutes)))
+
+    cells = F.aggregate(
+        F.coalesce("spent", F.array().cast(spent.schema["spent"].dataType)),
+        F.array().cast("array<double>"),
+        lambda minutes, x: F.concat(idle(minutes, x["place"]), F.array(x["minutes"])),
+        lambda minutes: idle(minutes, F.lit(len(WIDE_CODES))),
     )
+    return reshape.WideTable(people.select("case_id", "weight", "sex", "year", cells.alias("cells")), WIDE_CODES)
 
 
 def _wide_unpivot(s):
-    wide = _wide_form(s)
-    return reshape.unpivot_activities(wide, ["case_id"], reshape.columns_matching(wide))
+    return reshape.unpivot_activities(_wide_form(s), ["case_id"])
 
 
-def _wide_file(s):
-    return _wide_form(s).withColumnsRenamed({"case_id": "TUCASEID", "weight": "TUFNWGTP"})
+def _wide_file(s) -> reshape.WideTable:
+    wide = _wide_form(s)
+    return replace(wide, data=wide.data.withColumnsRenamed({"case_id": "TUCASEID", "weight": "TUFNWGTP"}))
 
 
 def _wide_estimates(s):

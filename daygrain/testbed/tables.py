@@ -104,9 +104,11 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half or one and a half times the weight, by case and replicate."""
-    perturbed = f"""transform(sequence(1, {REPLICATES}), r -> o_totalprice *
-        case when ((o_orderkey % 1009) * (r + 17) + r * r) % 1009 % 2 = 0 then 0.5D else 1.5D end)"""
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey as case_id", f"{perturbed} as weights")
+    perturbed = f"transform(sequence(1, {REPLICATES}), r -> o_totalprice * (0.5D + (place * (r + 17) + r * r) % 1009 % 2))"
+    # the file is one split: its rows are dealt out by case before they become arrays
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition("o_orderkey")
+    placed = orders.selectExpr("o_orderkey as case_id", "o_totalprice", "cast(o_orderkey % 1009 as int) as place")
+    return placed.selectExpr("case_id", f"{perturbed} as weights")
 
 
 def _diary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +210,7 @@ def survey(spark: SparkSession, sf_dir: str, *needed: str) -> Survey:
     labels = diary.described(table(spark, sf_dir, "events"), "event_type") if "spells" in needed else None
     return Survey(
         **frames,
+        replicates=REPLICATES,
         diary_labels=labels,
         activity_names=spark.createDataFrame(list(CODE_NAMES), "code string, description string"),
         work_day_minutes=WORK_DAY_MINUTES,

@@ -1,11 +1,14 @@
 """The functions on the wide summary file and the survey built from the published files."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import daygrain
 from daygrain import api
-from daygrain.operators import categorize, estimates
+from daygrain.operators import categorize, estimates, variance
+from daygrain.operators.reshape import WideTable
 from daygrain.plans import reports
 from daygrain.sources import readers, writers
 
@@ -83,6 +86,53 @@ def test_codes_nobody_spent_time_on(spark, wide):
     assert reports.code_catalogue(s).count() == 4
 
 
+def as_array(wide, name="cells"):
+    codes = tuple(c for c in wide.columns if c.startswith("t"))
+    rest = [c for c in wide.columns if c not in codes]
+    return WideTable(wide.select(*rest, F.array(*codes).alias(name)), codes, name)
+
+
+def test_one_array_gives_the_same_as_columns(spark, wide):
+    array = as_array(wide, "spent")
+    pairs = api.descriptions(wide)
+    assert api.descriptions(array) == pairs
+    mapping = spark.createDataFrame(pairs, "activity string, description string")
+    for simplify in (None, True, pairs, mapping):
+        for codes in (None, ["t120303", "t050101"]):
+            if codes and isinstance(simplify, list):
+                simplify = [p for p in pairs if p[0] in codes]
+            got, want = (daygrain.get_min_per_part(x, ["TESEX"], codes, simplify) for x in (array, wide))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    weights = spark.createDataFrame([(i, 1.0 * i, 2.0) for i in (1, 2, 3)], "TUCASEID long, w1 double, w2 double")
+    got, want = (daygrain.get_SE(x, weights, ["TESEX"], ["t050101", "t050201"]).collect() for x in (array, wide))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    status = [sorted((r.TUCASEID, r.work_status) for r in api.add_work_status(x).collect()) for x in (array, wide)]
+    assert status[0] == status[1]
+    a, b = (daygrain.Survey.from_tables(x).minutes.collect() for x in (array, wide))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    for bad in (lambda: daygrain.get_minutes(array, ["nope"]), lambda: daygrain.get_minutes(array, activities=["t999999"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_missing_minutes_in_an_array(wide):
+    holed = as_array(wide.withColumn("t050201", F.when(F.col("TUCASEID") != 2, F.col("t050201"))))
+    for simplify in (None, True, api.descriptions(wide)):
+        with pytest.raises(Exception, match="missing value in t050201"):
+            daygrain.get_minutes(holed, ["TESEX"], simplify=simplify).collect()
+
+
+def test_plans_of_a_wide_table_stay_small(spark):
+    codes = tuple(f"t{i:06d}" for i in range(1000))
+    data = spark.range(3).selectExpr("id as TUCASEID", "1.0D as TUFNWGTP", "array_repeat(1.0D, 1000) as cells")
+    for simplify in (True, None, [(c, f"label {i % 38}") for i, c in enumerate(codes)]):
+        start = time.perf_counter()
+        df = daygrain.get_min_per_part(WideTable(data, codes), None, simplify=simplify)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert time.perf_counter() - start < 2.5
+        assert plan.count("#") < 600 and len(plan) < 100_000
+
+
 def test_deprecated_alias(wide):
     with pytest.warns(DeprecationWarning):
         old = daygrain.apply_weights(wide, ["TESEX"])
@@ -120,10 +170,59 @@ def test_standard_error_does_not_depend_on_order(spark, wide):
     assert got[2].se == 0
 
 
+def test_number_of_replicates(spark, wide):
+    weights = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 3.0])], "case_id long, weights array<double>")
+    people = wide.selectExpr("TUCASEID as case_id", "TUFNWGTP as weight", "TESEX", "t050101 as minutes")
+    with pytest.raises(Exception, match="1 replicate weights for case 2"):
+        variance.replicate_se(people, weights, ["TESEX"], 2).collect()
+    assert variance.replicate_se(people.limit(0), weights.limit(0), ["TESEX"]).count() == 0
+    holed = spark.createDataFrame([(i, [1.0, None, 2.0]) for i in (1, 2, 3)], "case_id long, weights array<double>")
+    with pytest.raises(Exception, match="NULL"):
+        variance.replicate_se(people, holed, []).collect()
+    whole = spark.createDataFrame([(i, [1.0, 0.0, 2.0]) for i in (1, 2, 3)], "case_id long, weights array<double>")
+    row = variance.replicate_se(people, whole, []).first()
+    base, other = 50000.0 / 600, 400.0 / 3
+    # a replicate without any weight has no estimate
+    assert row.weighted_minutes == pytest.approx(base)
+    assert row.se == pytest.approx((4 / 3 * 2 * (other - base) ** 2) ** 0.5)
+    idle = people.selectExpr("case_id", "weight", "TESEX", "0.0D as minutes")
+    assert {(r.weighted_minutes, r.se) for r in variance.replicate_se(idle, whole, ["TESEX"]).collect()} == {(0.0, 0.0)}
+
+
 def test_work_status(wide):
     assert [r.work_status for r in api.add_work_status(wide).orderBy("TUCASEID").collect()] == [True, False, True]
 
 
+def test_wide_file_as_lines(spark, tmp_path):
+    text = " TUCASEID , TUFNWGTP,TESEX,t010101,TUYEAR,t050101 ,t120303\n"
+    rows = [" 20030100013280 ,8155462.67,1,870,2003, 0 ,30", "20030100013344,1735322.52,NA,620,,480,0", ""]
+    for name, own in (("a", rows[:1]), ("b", rows[1:])):
+        (tmp_path / f"{name}.dat").write_text(text + "\n".join(own) + "\n")
+    wide = readers.read_wide_table(spark, str(tmp_path))
+    assert wide.codes == ("t010101", "t050101", "t120303")
+    assert wide.data.schema["cells"].dataType.simpleString() == "array<double>"
+    got = {r.TUCASEID: r for r in wide.data.collect()}
+    first, second = got[20030100013280], got[20030100013344]
+    assert (first.TUFNWGTP, first.TESEX, first.TUYEAR, first.cells) == (8155462.67, 1, 2003, [870, 0, 30])
+    assert (second.TESEX, second.TUYEAR, second.cells) == (None, None, [620, 480, 0])
+    plain = readers.read_table(spark, str(tmp_path / "b.dat"))
+    a = daygrain.get_minutes(readers.read_wide_table(spark, str(tmp_path / "b.dat")), "TESEX")
+    assert sorted(map(str, a.collect())) == sorted(map(str, daygrain.get_minutes(plain, "TESEX").collect()))
+
+
+@pytest.mark.parametrize("line", ["1,2.0,3.0,4.0", "1,2.0", '1,2.0,"3.0"', "1,x,3.0", "1,2.0,x"])
+def test_bad_lines_of_a_wide_file(spark, tmp_path, line):
+    (tmp_path / "w.dat").write_text(f"TUCASEID,TUFNWGTP,t010101\n{line}\n")
+    with pytest.raises(Exception):
+        daygrain.get_minutes(readers.read_wide_table(spark, str(tmp_path / "w.dat"))).collect()
+
+
+def test_wide_file_needs_activities(spark, tmp_path):
+    (tmp_path / "w.dat").write_text("TUCASEID,TUFNWGTP\n")
+    with pytest.raises(ValueError):
+        readers.read_wide_table(spark, str(tmp_path / "w.dat"))
+
+
 # --- files ----------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from daygrain import lookups
 from daygrain.functions import clock, labels, numeric
-from daygrain.operators import breakdowns, categorize, demographics, diary, estimates, profile, reshape, variance
+from daygrain.operators import breakdowns, categorize, demographics, diary, estimates, prefilter, profile, reshape, variance
 from daygrain.operators.categorize import CURATED, Labelling
 from tests.code_names import ACTIVITY_NAMES
 
@@ -472,3 +472,82 @@ def test_codes_among_labels(spark, wanted):
     for labelling in (CURATED, overlapping):
         rows = df.select(labelling.description(F.col("c")), labelling.among(F.col("c"), wanted)).collect()
         assert all(kept == (label is not None and bool(re.search(wanted, label))) for label, kept in rows)
+
+
+ODD_CODES = ["t", "t0", "t01", "t0101", "t010", "xt0101", "t01t0201", "0101", "", "T0101", "t:", "t0100", "t019", "t01999", "t02é"]
+
+
+@pytest.mark.parametrize(
+    "patterns",
+    [
+        lookups.CATEGORIES_V1,
+        lookups.CATEGORIES_V2,
+        (("t01.*", "a"), ("t0101.*", "b"), ("t010[1-3].*", "c"), ("t0.*", "a"), ("t.*", "d")),
+        (("t01", "a"),),
+        (("t01.*", "a"), ("b02.*", "b")),
+        (("t01|t02", "a"), ("t02.*", "b")),
+        (("tt.*", "a"), ("t02.*", "b")),
+    ],
+)
+def test_prefix_search_equals_one_test_after_the_other(spark, patterns):
+    import re
+
+    names = [*(f"t{code}" for code, _ in ACTIVITY_NAMES), *ODD_CODES, None]
+    df = spark.createDataFrame([(n,) for n in names], "activity string")
+    labelling = Labelling(tuple(patterns))
+    rows = df.select(
+        "activity",
+        labelling.description(F.col("activity")).alias("label"),
+        labelling.slot(F.col("activity")).alias("slot"),
+        labelling.among(F.col("activity"), "^[ab]$").alias("among"),
+    ).collect()
+    assert len(rows) == len(names)
+    for r in rows:
+        hits = [d for p, d in patterns if r.activity is not None and re.search(p, r.activity)]
+        assert r.label == (hits[0] if hits else None)
+        assert r.slot == labelling.labels.index(r.label)
+        assert r.among == (bool(hits) and hits[0] in ("a", "b"))
+    joined = categorize.regex_left_join(df, patterns)
+    assert joined.columns == ["activity", "pattern", "description"]
+    every = [(n, p, d) for n in names for p, d in [x for x in patterns if n is not None and re.search(x[0], n)] or [(None, None)]]
+    assert sorted(map(str, map(tuple, joined.collect()))) == sorted(map(str, every))
+
+
+def test_prefix_search_is_short(spark):
+    """A code is compared a few times with bounds, not with every pattern."""
+    slot = CURATED.slot(F.col("c"))
+    plan = spark.createDataFrame([("t010101",)], "c string").select(slot.alias("s"))._jdf.queryExecution().analyzed().toString()
+    depth = most = 0
+    for word in plan.replace("CASE", " CASE ").replace("END", " END ").split():
+        depth += (word == "CASE") - (word == "END")
+        most = max(most, depth)
+    assert most <= 10
+
+
+# --- prefilter ------------------------------------------------------------
+
+
+def test_prefilter_keeps_all_partners(spark, monkeypatch):
+    left = spark.range(4000).selectExpr("id % 1000 as k", "cast(id as string) as s", "id as _word")
+    right = spark.range(1000).where("id % 7 = 0").selectExpr("id as k").unionByName(spark.createDataFrame([(None,)], "k long"))
+    for words, most in ((1 << 17, 600), (2, 4000)):
+        monkeypatch.setattr(prefilter, "WORDS", words)
+        kept = prefilter.possibly_in(left, right, ["k"])
+        assert kept.columns == left.columns
+        n = kept.count()
+        assert n <= most and kept.join(right, "k", "left_semi").count() == left.join(right, "k", "left_semi").count() <= n
+        assert prefilter.key_bits(left, ["k"]).count() <= words
+    assert prefilter.possibly_in(left, right.limit(0), ["k"]).count() == 0
+
+
+def test_many_labels(spark):
+    """Positions are looked up by hash, so that a long list costs a spell no more than a short one."""
+    s = spark.range(20_000).selectExpr(
+        "id as case_id", "1L as ordinal", "0L as start_min", "1440L as end_min", "concat('label ', id) as description"
+    )
+    got = diary.one_minute_sequence(s).where("period = 3").agg(F.count("*"), F.countDistinct("description")).first()
+    assert tuple(got) == (20_000, 20_000)
+    named = diary.one_minute_sequence(s).where("description <> concat('label ', case_id)")
+    assert named.count() == 0
+    with pytest.raises(Exception, match="not in the label list"):
+        diary.one_minute_sequence(s, ["label 1"]).collect()
