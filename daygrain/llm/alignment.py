@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from daygrain.llm.byte_bpe import in_batches
 from daygrain.llm.common import ship, written
-from daygrain.llm.json_bpe import LONG_SEGMENT, JsonBpe, cut
+from daygrain.llm.json_bpe import JsonBpe, cut
 
 #: Segments whose alignment a worker remembers.
 CACHED_SEGMENTS = 400_000
+#: Longer segments are not remembered.
+LONG_SEGMENT = 200
 #: Unknown segments that are encoded as one text.
 TOGETHER = 1000
 #: Links of a segment that are kept one by one; segments with more have a number for each pair of ids.

@@ -1,4 +1,4 @@
-"""Byte-level BPE by a tokenizer file: texts are cut into segments that can be encoded one by one, with a cache."""
+"""Byte-level BPE by a tokenizer file: its merges as ranks, and cuts at which texts can be encoded one by one."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import functools
 import json
 import os
 import re
+from itertools import groupby
+
+import numpy as np
 
 from daygrain.llm.byte_bpe import CACHED_WORDS, WordCache, packed
 from daygrain.llm.pretokenize import split_tokens
@@ -14,8 +17,9 @@ from daygrain.llm.pretokenize import split_tokens
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 PAIRS = tuple(f"{c} " for c in WHITE)
 CUT = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
-#: Longer segments are split into words by the automaton, as regular expressions may give up on them.
-LONG_SEGMENT = 200
+#: Characters of a word or of white space; longer runs are left to the automaton.
+LONG_RUN = 200
+WHITE_RUN = re.compile(rf"\s{{{LONG_RUN + 1}}}")
 
 
 def cut(text: str) -> list[str]:
@@ -37,11 +41,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class SegmentCache(WordCache):
-    """A word cache that does not keep long segments."""
-
-    def __missing__(self, part: str) -> bytes:
-        return super().__missing__(part) if len(part) <= LONG_SEGMENT else packed(self.encode(part))
+def even(text: str) -> bool:
+    """Whether a text has no very long word and no very long white space, on which regular expressions may give up."""
+    return max(map(len, text.split()), default=0) <= LONG_RUN and WHITE_RUN.search(text) is None
 
 
 class JsonBpe:
@@ -74,27 +76,33 @@ class JsonBpe:
             mergeable_ranks={token: i for i, token in self.entries.items()},
             special_tokens={},
         )
-        self.first = SegmentCache(self.segment, most // 8)
-        self.cache = SegmentCache(lambda part: self.segment(f" {part}"), most)
+        self.cache = WordCache(self._ids, most)
+
+    def _ids(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
     def segment(self, text: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        if max(map(len, text.split(" "))) <= LONG_SEGMENT and "  " not in text:
-            return self.ranks.encode_ordinary(text)
-        words = (w.encode().decode("latin-1").translate(self.letters) for w in split_tokens([text])[0])
-        return [t.id for word in words for t in self.model.tokenize(word)]
+        """Ids of a text without special tokens.
 
-    def _plain(self, text: str) -> bytes:
-        parts = cut(text)
-        return self.first[parts[0]] + b"".join(map(self.cache.__getitem__, parts[1:]))
+        Segments with a very long run are split into words by the automaton; all between them is encoded at once.
+        """
+        if even(text):
+            return self.ranks.encode_ordinary(text)
+        first, *rest = cut(text)
+        out = []
+        for regular, own in groupby([first, *(f" {part}" for part in rest)], even):
+            if regular:
+                out += self.ranks.encode_ordinary("".join(own))
+            else:
+                coded = b"".join(self.cache[word] for words in split_tokens(list(own)) for word in words)
+                out += np.frombuffer(coded, "<u4").tolist()
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out = []
         for text in texts:
-            if self.splitter and any(s in text for s in self.special):
-                own = [p for p in self.splitter.split(text) if p]
-                out.append(b"".join(packed([self.special[p]]) if p in self.special else self._plain(p) for p in own))
-            else:
-                out.append(self._plain(text))
+            special = self.splitter is not None and any(s in text for s in self.special)
+            parts = [p for p in self.splitter.split(text) if p] if special else [text]
+            out.append(b"".join(packed([self.special[p]] if p in self.special else self.segment(p)) for p in parts))
         return out
