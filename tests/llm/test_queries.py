@@ -1,5 +1,7 @@
 """The registered queries of the package: SQL where there is some, else columns, keys and the pipeline by hand."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from daygrain.llm import line_dedup, packing, quality, queries, secret_scan, simhash
 from daygrain.llm.sql import ORACLE
-from tests.llm.test_dedup import lines_by_hand
+from tests.llm.data import ROWS
+from tests.llm.test_dedup import components_by_hand, lines_by_hand
+from tests.llm.test_tokens import check_packing
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +96,37 @@ def test_pipeline_runs_and_keeps_nulls(spark):
     assert empty.count() == 0
 
 
+def test_pipeline_on_awkward_rows(spark, docs):
+    """Nulls, ties, repeated rows, very long texts and clashing columns through all five stages."""
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality classifier"](spark, docs, SF).collect()
+    scored = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet"), queries.fold(4) != 2).collect()
+    assert sorted(str(tuple(r)) for r in kept) == sorted(str(tuple(r)[:5]) for r in scored if r.predicted == 1)
+    # the later stages get all rows, so that none of the awkward ones is missing
+    lines = stages["line dedup"](spark, docs, SF).cache()
+    assert lines.columns == list(corpus_pipeline.COLUMNS)
+    assert Counter(r.doc_id for r in lines.collect()) == Counter(r[0] for r in ROWS)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in lines.collect())
+    one_each = stages["SimHash near-dedup"](spark, lines, SF).cache()
+    rows = lines.collect()
+    prints = [simhash.fingerprint(r.text) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if ((prints[i] ^ prints[j]) % (1 << 64)).bit_count() <= 2]
+    root = components_by_hand(range(len(rows)), near)
+    left = one_each.collect()
+    assert len(left) == len({root[i] for i in range(len(rows))})
+    least = {}
+    for i, r in enumerate(rows):
+        order = (r.doc_id is None, r.doc_id or 0)
+        least[root[i]] = min(least.get(root[i], order), order)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == sorted(least.values())
+    # all rows again, as near copies have gone
+    clean = stages["secret scans"](spark, lines, SF).cache()
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(r[0] for r in ROWS)
+    assert not any("3fdf5a35c7b8d733" in (r.text or "") for r in clean.collect())
+    placed = stages["best-fit packing"](spark, clean, SF).collect()
+    check_packing(placed, [(r.doc_id, r.text) for r in clean.collect()], 2048)
+
+
 def test_plans_have_no_cross_join(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (line_dedup.dedup_lines(docs), simhash.drop_near_duplicates(docs), packing.pack_documents(docs, packing_path())):
