@@ -1,5 +1,9 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -32,3 +36,11 @@ def test_entry(spark):
         assert 0 <= r.participation_rate <= 1
         # the three metrics belong together up to the rounding of the registered query
         assert r.weighted_minutes == pytest.approx(r.participation_rate * r.minutes_per_participant, abs=1e-4)
+
+
+def test_entry_without_an_optional_dependency():
+    """With a module missing that only the optional package needs, all other queries are there."""
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert out.split() == [str(len(QUERIES)), str(len(ORACLE))]
