@@ -51,7 +51,7 @@ def labelled(text: str) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The labelled samples of a text: its random strings, and the spans that are left out of the ordinary ones.
 
     Random are whole access and hex matches, and of an assignment the value alone, if it has itself LEAST_LENGTH
-    characters and letters as well as digits; overlapping ones count once. Everything else of a match is neither.
+    characters and letters as well as digits; overlapping ones are one sample. Everything else of a match is neither.
     """
     spans = base_spans(text)
     proven = [(a, b) for a, kind, b in spans if kind > 0]
@@ -60,11 +60,13 @@ def labelled(text: str) -> tuple[list[str], list[tuple[int, int, int]]]:
             value = ASSIGN.match(text, a, b)[2]
             if len(value) >= LEAST_LENGTH and DIGITS.search(value) and LETTERS.search(value):
                 proven.append((b - len(value), b))
-    samples, end = [], 0
+    merged: list[tuple[int, int]] = []
     for a, b in sorted(proven):
-        if b > end:
-            samples.append(text[max(a, end) : b])
-            end = b
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    samples = [text[a:b] for a, b in merged]
     return samples, spans
 
 
