@@ -38,8 +38,8 @@ def replicate_se(
     if replicates is None:
         first = replicate_weights.select(F.size("weights").alias("n")).first()
         replicates = first["n"] if first else 0
-    # one array per respondent is far too much to broadcast, whatever its file size suggests
-    joined = people.join(replicate_weights.hint("merge"), "case_id", "left")
+    # one array per respondent is far too much to broadcast or to sort: the narrow people are hashed and the arrays pass by
+    joined = people.hint("shuffle_hash").join(replicate_weights, "case_id", "left")
     found = F.coalesce(F.size("weights"), F.lit(0))
     case = F.col("case_id").cast("string")
     none = F.raise_error(F.concat(F.lit("no replicate weights for case "), case)).cast("array<double>")
