@@ -151,11 +151,10 @@ def get_SE(df: DataFrame | WideTable, replicate_weights: DataFrame, groups, acti
         *groups,
         F.get(_totals(codes, [codes]), F.lit(0)).alias("minutes"),
     )
-    replicates = [F.col(c).cast("double") for c in replicate_weights.columns if c != ID_COLUMN]
     weights = replicate_weights.select(
-        F.col(ID_COLUMN).alias("case_id"), F.array(*replicates).alias("weights")
+        F.col(ID_COLUMN).alias("case_id"), *[F.col(c).cast("double") for c in replicate_weights.columns if c != ID_COLUMN]
     )
-    return variance.replicate_se(people, weights, groups, len(replicates))
+    return variance.replicate_se_of_columns(people, weights, groups)
 
 
 def add_work_status(df: DataFrame | WideTable, threshold: float = 120, code: str = "t05") -> DataFrame:

@@ -35,11 +35,19 @@ class WideTable:
     cells: str = "cells"
 
     def chosen(self, codes: Sequence[str]) -> Column:
-        """The minutes of some codes, as an array in their order."""
+        """The minutes of some codes, as an array in their order.
+
+        The row's array is bound to a variable: in a function called per code its expression would be computed per code.
+        """
         if tuple(codes) == self.codes:
             return F.col(self.cells)
         place = {code: i for i, code in enumerate(self.codes)}
-        return F.transform(numbers(place[c] for c in codes), lambda i: F.get(self.cells, i))
+        chosen, cells = numbers(place[c] for c in codes), F.col(self.cells)
+        bound = F.transform(F.array(cells), lambda row: F.transform(chosen, lambda i: F.get(row, i)))
+        # named twice, the array is computed beforehand, in generated code
+        return F.when(cells.isNotNull(), F.get(bound, F.lit(0))).otherwise(
+            F.array_repeat(F.lit(None).cast("double"), len(codes))
+        )
 
 
 def numbers(values: Iterable[int]) -> Column:
@@ -57,7 +65,7 @@ def complete(value: Column, cells: Column, activities: Sequence[str]) -> Column:
     empty = F.filter(numbers(range(len(activities))), lambda i: F.get(cells, i).isNull())
     name = F.get(activity_names(activities), F.get(empty, 0))
     missing = F.raise_error(F.concat(F.lit("missing value in "), name))
-    return F.when(value.isNotNull(), value).otherwise(missing.cast("double"))
+    return F.coalesce(value, missing.cast("double"))
 
 
 def unpivot_cells(df: DataFrame, ids: Sequence[str], cells: Column, activities: Sequence[str], check: bool) -> DataFrame:

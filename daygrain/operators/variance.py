@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daygrain.functions.numeric import ratio
@@ -31,36 +29,73 @@ def replicate_se(
     weights is an error, as the base estimate would change without them, and so is one with
     another number of them than ``replicates``, by default that of the first row.
 
-    Replicates meet their respondent by case id and are summed as vectors, the base weight first, so a person stays one
-    row and the shuffle has one row of sums per group and task. A missing weight in an array is an error.
+    Replicates meet their respondent by case id and a person stays one row: every replicate has two plain sums, combined
+    before the shuffle, which has one row per group and task. A missing weight in an array is an error.
     """
-    groups = list(groups)
     if replicates is None:
         first = replicate_weights.select(F.size("weights").alias("n")).first()
         replicates = first["n"] if first else 0
-    # one array per respondent is far too much to broadcast or to sort: the narrow people are hashed and the arrays pass by
-    joined = people.hint("shuffle_hash").join(replicate_weights, "case_id", "left")
+    joined = _matched(people, replicate_weights.select("case_id", "weights"))
     found = F.coalesce(F.size("weights"), F.lit(0))
-    case = F.col("case_id").cast("string")
-    none = F.raise_error(F.concat(F.lit("no replicate weights for case "), case)).cast("array<double>")
-    other = F.raise_error(F.concat(found.cast("string"), F.lit(" replicate weights for case "), case)).cast("array<double>")
-    weights = F.when(F.col("weights").isNull(), none).when(found != replicates, other).otherwise(F.col("weights"))
-    series = F.concat(F.array(F.col("weight").cast("double")), weights)
-    rows = joined.select(*groups, array_to_vector(series).alias("w"), F.coalesce("minutes", F.lit(0.0)).alias("minutes"))
-    # a vector's factor must be above zero for some row of a group: one more minute each, which is taken off again
-    more = Summarizer.sum(F.col("w"), F.col("minutes") + 1)
-    sums = rows.groupBy(*groups).agg(more.alias("more"), Summarizer.sum(F.col("w")).alias("w"))
+    other = _error(F.concat(found.cast("string"), F.lit(" replicate weights for case "), _case()))
+    unfit = F.when(F.col("weights").isNull(), _none()).when(found != replicates, other)
+    return _estimates(joined, list(groups), unfit, [F.get("weights", F.lit(i)) for i in range(replicates)])
+
+
+def replicate_se_of_columns(people: DataFrame, replicate_weights: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """As ``replicate_se``, from one column per replicate beside ``case_id``, which are never packed into an array."""
+    names = [c for c in replicate_weights.columns if c != "case_id"]
+    own = {c: f"_replicate{i}" for i, c in enumerate(names)}  # a group may have the name of a replicate
+    weights = replicate_weights.select("case_id", F.lit(True).alias("_found"), *[F.col(c).alias(own[c]) for c in names])
+    unfit = F.when(F.col("_found").isNull(), _none())
+    return _estimates(_matched(people, weights), list(groups), unfit, [F.col(own[c]) for c in names])
+
+
+def _matched(people: DataFrame, weights: DataFrame) -> DataFrame:
+    # a row of weights per respondent is far too much to broadcast or to sort: the narrow people are hashed and they pass by
+    return people.hint("shuffle_hash").join(weights, "case_id", "left")
+
+
+def _case() -> Column:
+    return F.col("case_id").cast("string")
+
+
+def _error(message: Column) -> Column:
+    return F.raise_error(message).cast("double")
+
+
+def _none() -> Column:
+    return _error(F.concat(F.lit("no replicate weights for case "), _case()))
+
+
+def _estimates(joined: DataFrame, groups: list[str], unfit: Column, series: Sequence[Column]) -> DataFrame:
+    """Estimate and standard error per group from the base weight and the replicates; ``unfit`` has the errors of a row."""
+    # one check for all weights of a person
+    empty = F.greatest(F.lit(False), F.col("weight").isNull(), *[w.isNull() for w in series])
+    missing = _error(F.concat(F.lit("NULL among the weights of case "), _case()))
+    names = [f"_w{i}" for i in range(1 + len(series))]
+    weights = [unfit.when(empty, missing).otherwise(F.col("weight")), *series]
+    rows = joined.select(
+        *groups,
+        F.coalesce("minutes", F.lit(0.0)).alias("minutes"),
+        *[w.cast("double").alias(name) for w, name in zip(weights, names)],
+    )
+    sums = rows.groupBy(*groups).agg(
+        *[F.sum(name).alias(name) for name in names],
+        *[F.sum(F.col(name) * F.col("minutes")).alias(f"{name}_minutes") for name in names],
+    )
     # one row per group from here on
-    theta = F.zip_with(vector_to_array("more"), vector_to_array("w"), lambda more, w: ratio(more - w, w))
+    theta = F.array(*[ratio(F.col(f"{name}_minutes"), F.col(name)) for name in names])
     estimates = sums.select(*groups, theta.alias("theta")).withColumn("weighted_minutes", F.get("theta", F.lit(0)))
-    apart = F.transform(F.slice("theta", 2, max(replicates, 1)), lambda x: F.pow(x - F.col("weighted_minutes"), 2))
+    replicates = max(len(series), 1)
+    apart = F.transform(F.slice("theta", 2, replicates), lambda x: F.pow(x - F.col("weighted_minutes"), 2))
     squares = F.array_compact(apart)
     total = F.when(F.size(squares) > 0, F.aggregate(squares, F.lit(0.0), lambda sum_, x: sum_ + x))
     return estimates.select(
         F.lit(COLLAPSED_LABEL).alias("activity"),
         *groups,
         "weighted_minutes",
-        F.sqrt(F.lit(VARIANCE_FACTOR / max(replicates, 1)) * total).alias("se"),
+        F.sqrt(F.lit(VARIANCE_FACTOR / replicates) * total).alias("se"),
     )
 
 

@@ -94,15 +94,26 @@ def _wide_form(s) -> reshape.WideTable:
     spent = per_code.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "minutes"))).alias("spent"))
     people = s.respondents.select("case_id", "weight", "sex", "year").join(spent, "case_id", "left")
 
-    def idle(minutes, end):
-        return F.concat(minutes, F.array_repeat(F.lit(0.0), end - F.size(minutes)))
-
-    cells = F.aggregate(
-        F.coalesce("spent", F.array().cast(spent.schema["spent"].dataType)),
-        F.array().cast("array<double>"),
-        lambda minutes, x: F.concat(idle(minutes, x["place"]), F.array(x["minutes"])),
-        lambda minutes: idle(minutes, F.lit(len(WIDE_CODES))),
+    def idle(size, end):
+        return F.array_repeat(F.lit(0.0), end - size)
+
+    spent_cells = F.coalesce("spent", F.array().cast(spent.schema["spent"].dataType))
+    # the length of the row before each cell and after the last one
+    sizes = F.aggregate(
+        spent_cells,
+        F.array(F.lit(0)),
+        lambda known, x: F.concat(known, F.array(F.greatest(F.element_at(known, -1), x["place"]) + 1)),
     )
+    end = F.lit(len(WIDE_CODES))
+    # a row is put together once: copied per cell it would cost its length each time
+    pieces = F.zip_with(
+        spent_cells,
+        sizes,
+        lambda x, size: F.when(x.isNull(), F.array(idle(size, end))).otherwise(
+            F.array(idle(size, x["place"]), F.array(x["minutes"]))
+        ),
+    )
+    cells = F.flatten(F.flatten(pieces))
     return reshape.WideTable(people.select("case_id", "weight", "sex", "year", cells.alias("cells")), WIDE_CODES)
 
 

@@ -104,11 +104,17 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replicate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half or one and a half times the weight, by case and replicate."""
-    perturbed = f"transform(sequence(1, {REPLICATES}), r -> o_totalprice * (0.5D + (place * (r + 17) + r * r) % 1009 % 2))"
+    # written out per replicate: generated code, where a function of the replicate would be interpreted
+    odd = [f"(place * {r + 17} + {r * r}) % 1009 % 2 as odd{r}" for r in range(1, REPLICATES + 1)]
+    # two products serve all replicates; naming a column more than once keeps the columns apart from the array, as one
+    # method that makes the array from the place is too long to be compiled
+    factor = "case odd{0} when 0 then half when 1 then more else o_totalprice * (0.5D + odd{0}) end"
+    weights = ", ".join(factor.format(r) for r in range(1, REPLICATES + 1))
     # the file is one split: its rows are dealt out by case before they become arrays
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition("o_orderkey")
     placed = orders.selectExpr("o_orderkey as case_id", "o_totalprice", "cast(o_orderkey % 1009 as int) as place")
-    return placed.selectExpr("case_id", f"{perturbed} as weights")
+    columns = placed.selectExpr("case_id", "o_totalprice", "o_totalprice * 0.5D as half", "o_totalprice * 1.5D as more", *odd)
+    return columns.selectExpr("case_id", f"array({weights}) as weights")
 
 
 def _diary_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The functions on the wide summary file and the survey built from the published files."""
 
+import re
 import time
 
 import pytest
@@ -122,6 +123,16 @@ def test_missing_minutes_in_an_array(wide):
             daygrain.get_minutes(holed, ["TESEX"], simplify=simplify).collect()
 
 
+def test_a_row_is_computed_once_for_all_chosen_codes(spark):
+    codes = tuple(f"t{i:06d}" for i in range(50))
+    row = "flatten(array(array_repeat(1.0D * id, 20), array_repeat(2.0D, 30)))"
+    data = spark.range(4).selectExpr("id as TUCASEID", f"if(id < 3, {row}, null) as cells")
+    chosen = data.select(WideTable(data, codes).chosen(codes[15:25]).alias("minutes"))
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(") == 1 and not re.search(r"lambdafunction\([^\n]*flatten\(", plan)
+    assert [r.minutes for r in chosen.collect()] == [*([1.0 * i] * 5 + [2.0] * 5 for i in range(3)), [None] * 10]
+
+
 def test_plans_of_a_wide_table_stay_small(spark):
     codes = tuple(f"t{i:06d}" for i in range(1000))
     data = spark.range(3).selectExpr("id as TUCASEID", "1.0D as TUFNWGTP", "array_repeat(1.0D, 1000) as cells")
@@ -170,6 +181,26 @@ def test_standard_error_does_not_depend_on_order(spark, wide):
     assert got[2].se == 0
 
 
+def test_standard_errors_of_columns(spark, wide):
+    rows = [(1, 1, 100.0, 10.0), (2, 1, 300.0, None), (3, 2, 50.0, 20.0)]
+    people = spark.createDataFrame(rows, "case_id long, w1 int, weight double, minutes double")
+    kept = [(1, 150.0, 50.0), (2, 150.0, 450.0), (3, 25.0, 75.0), (4, 1.0, 1.0)]
+    weights = spark.createDataFrame(kept, "case_id long, w1 double, w2 double")
+    # a group may be called as a replicate is
+    got = sorted(map(tuple, variance.replicate_se_of_columns(people, weights, ["w1"]).collect()))
+    array = weights.select("case_id", F.array("w1", "w2").alias("weights"))
+    assert got == sorted(map(tuple, variance.replicate_se(people, array, ["w1"]).collect()))
+    assert [r[1:3] for r in got] == [(1, 2.5), (2, 20.0)]
+    assert got[0][3] == pytest.approx((4 / 2 * ((5.0 - 2.5) ** 2 + (1.0 - 2.5) ** 2)) ** 0.5) and got[1][3] == 0
+    with pytest.raises(Exception, match="no replicate weights for case 3"):
+        variance.replicate_se_of_columns(people, weights.filter("case_id <> 3"), []).collect()
+    holed = weights.withColumn("w2", F.when(F.col("case_id") != 2, F.col("w2")))
+    unweighted = people.withColumn("weight", F.when(F.col("case_id") != 2, F.col("weight")))
+    for who, what in ((people, holed), (unweighted, weights)):
+        with pytest.raises(Exception, match="NULL among the weights of case 2"):
+            variance.replicate_se_of_columns(who, what, []).collect()
+
+
 def test_number_of_replicates(spark, wide):
     weights = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 3.0])], "case_id long, weights array<double>")
     people = wide.selectExpr("TUCASEID as case_id", "TUFNWGTP as weight", "TESEX", "t050101 as minutes")

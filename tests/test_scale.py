@@ -76,6 +76,18 @@ def test_standard_errors_keep_one_row_per_person(large_plans):
         assert "Generate" not in large_plans[name], name
 
 
+def test_standard_errors_are_plain_sums(large_plans):
+    for name in ("replicate_se_by_age_sex", "replicate_se_by_year", "wide_standard_errors"):
+        assert "UDF" not in large_plans[name] and "partial_sum" in large_plans[name], name
+
+
+def test_wide_rows_are_put_together_once_per_person(large_plans):
+    plan = large_plans["wide_standard_errors"]
+    assert any("AS cells#" in line for line in plan.splitlines())
+    # a function called per code has the finished row, not the expression that makes it from the person's minutes
+    assert not re.search(r"transform\(\[\d[\d,]*\], lambdafunction\([^\n]*spent#", plan)
+
+
 def test_days_are_selected_before_spells_expand(large_plans):
     for name in ("diary_sequence_5min", "diary_slots_5min"):
         plan = large_plans[name]
