@@ -11,7 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # sums of vectors for as many groups as this stay in a hash table; with more they are sorted
+    # aggregates of lists for as many groups as this stay in a hash table; with more they are sorted
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     "spark.ui.enabled": "false",
     # reports build hundreds of column expressions; do not record a call site for each
